@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from tessella.llm import decontaminate, simhash
+from tessella.llm import decontaminate, language_model, line_dedup, simhash
 
 
 def queries() -> dict:
     found = [
+        line_dedup.op2_line_dedup,
         simhash.op4_simhash_near_dedup,
         decontaminate.op8_benchmark_decontamination,
+        language_model.op9_lm_scoring,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": line_dedup.OP2_SQL}
