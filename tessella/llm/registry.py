@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from tessella.llm import decontaminate, language_model, line_dedup, simhash
+from tessella.llm import decontaminate, language_model, line_dedup, simhash, topk, toxicity
 
 
 def queries() -> dict:
     found = [
         line_dedup.op2_line_dedup,
         simhash.op4_simhash_near_dedup,
+        toxicity.op5_toxicity,
         decontaminate.op8_benchmark_decontamination,
         language_model.op9_lm_scoring,
+        topk.op10_exact_top_k,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.OP2_SQL}
+    return {"op2_line_dedup": line_dedup.OP2_SQL, "op10_exact_top_k": topk.OP10_SQL}
