@@ -28,12 +28,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"file://{_OWN[app]}"
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the scratch folder, which is made."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(at)
+    store.deleteOnExit(at)  # as the driver's JVM ends
+    return path
+
+
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes df as a Parquet table in the scratch folder and returns the reread table.
 
     Cuts the lineage: a lost executor costs a reread, never a recomputation of what came before.
     """
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_path(df.sparkSession, name)}/table"
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -88,8 +98,8 @@ LOWER[65:91] += 32
 ALNUM_RAW = ALNUM[LOWER]  # of bytes before lower-casing
 
 
-def word_cuts(column: pa.Array, member: np.ndarray, spaced: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A-Z lower-cased words of each text: their bytes, where each word starts in these (and the end), words per text.
+def word_cuts(column: pa.Array, member: np.ndarray, spaced: bool = False, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each text, by default A-Z lower-cased: their bytes, where each word starts in these (and the end), words per text.
 
     member: of raw bytes, whether each belongs to words. spaced: keep one space between the words of a text.
     """
@@ -101,7 +111,7 @@ def word_cuts(column: pa.Array, member: np.ndarray, spaced: bool = False) -> tup
     start[heads] = inside[heads]
     at = np.flatnonzero(start)
     counts = np.diff(np.searchsorted(at, offsets))
-    data = LOWER[raw]
+    data = LOWER[raw] if lower else raw
     if spaced and len(at):
         first = np.zeros(len(at), bool)
         firsts = np.cumsum(counts) - counts

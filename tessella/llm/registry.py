@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import decontaminate, language_model, line_dedup, simhash, topk, toxicity
+from tessella.llm import decontaminate, language_model, line_dedup, simhash, token_files, topk, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         line_dedup.op2_line_dedup,
         simhash.op4_simhash_near_dedup,
         toxicity.op5_toxicity,
+        token_files.op6_token_file,
         decontaminate.op8_benchmark_decontamination,
         language_model.op9_lm_scoring,
         topk.op10_exact_top_k,
