@@ -141,3 +141,21 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def clean_documents(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that extra ones, whatever their names, never travel or clash."""
     return docs.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, chars: int) -> list[tuple[int, str, object]]:
+    """(doc_id, text, label) of at most `rows` labelled documents and about `chars` characters, on the driver, by doc_id.
+
+    labels (doc_id, label): the first `rows` by a hash of doc_id are taken; null ids and labels are not. The sample is
+    two numbers a row and at most `rows` rows, so it may be broadcast.
+    """
+    known = labels.select(F.col("doc_id").alias("label_id"), "label").where("label_id is not null and label is not null")
+    sample = known.orderBy(F.xxhash64("label_id"), "label_id", "label").limit(rows)
+    met = clean_documents(docs, "doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).where("text is not null")
+    found, size = [], 0
+    for r in met.select("doc_id", "text", "label").limit(rows).toLocalIterator():
+        found.append((r[0], r[1], r[2]))
+        size += len(r[1])
+        if size > chars:
+            break
+    return sorted(found)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessella.llm import decontaminate, language_model, line_dedup, simhash, token_files, topk, toxicity
+from tessella.llm import decontaminate, language_model, line_dedup, mixing, simhash, token_files, topk, toxicity
 
 
 def queries() -> dict:
     found = [
+        mixing.op1_source_mixing,
         line_dedup.op2_line_dedup,
         simhash.op4_simhash_near_dedup,
         toxicity.op5_toxicity,

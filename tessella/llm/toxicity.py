@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import LOWER, clean_documents, pieces, table, text_bytes
+from tessella.llm.common import LOWER, clean_documents, labelled_sample, pieces, table, text_bytes
 
 SAMPLE_ROWS = 6000
 SAMPLE_CHARS = 48_000_000
@@ -114,17 +114,7 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """From rows of labels (doc_id, toxic) whose label is 0 or 1, joined to docs; others are left out."""
-    known = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
-    sample = known.orderBy(F.xxhash64("label_id"), "label_id", "toxic").limit(rows)
-    # The sample has at most `rows` rows of two numbers, so it may be broadcast.
-    joined = clean_documents(docs, "doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).where("text is not null")
-    found, chars = [], 0
-    for r in joined.select("doc_id", "text", "toxic").limit(rows).toLocalIterator():
-        found.append((r[0], r[1], r[2]))
-        chars += len(r[1])
-        if chars > SAMPLE_CHARS:
-            break
-    found.sort()
+    found = labelled_sample(docs, labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("label")), rows, SAMPLE_CHARS)
     return train([t for _, t, _ in found], np.array([y for _, _, y in found], np.int64))
 
 
