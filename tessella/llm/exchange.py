@@ -116,7 +116,7 @@ def with_answers(chunks: DataFrame, *answers: DataFrame) -> DataFrame:
     """The chunks, each with its answers in order of shard: arrays reply0, reply1 and so on (null: it asked nothing)."""
     for i, a in enumerate(answers):
         per_chunk = a.where("chunk is not null").groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "body"))), lambda x: x["body"]).alias(f"reply{i}"))
-        chunks = chunks.join(per_chunk, "chunk", "left")
+        chunks = chunks.hint("merge").join(per_chunk, "chunk", "left")  # one plan at all sizes: replies grow with the chunks
     return chunks
 
 
