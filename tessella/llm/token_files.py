@@ -14,6 +14,7 @@ documents, not their texts, are then sorted by doc_id.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import NOT_WHITE, binary_array, clean_documents, pieces, ranges, scratch_path, stored, table, word_cuts
+from tessella.llm.common import NOT_WHITE, binary_array, clean_documents, pieces, ranges, scratch_path, stored, table, text_bytes, word_cuts
 from tessella.llm.exchange import squeeze, unsqueeze
 
 END_ID = 2
@@ -34,6 +35,12 @@ CACHED_WORDS = 300_000
 PARTS_BYTES = 16 << 20
 
 
+_MIXED = re.compile("[a-zA-Z0-9']")
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[ord("a") : ord("z") + 1] = True
+_MARK[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
+
+
 class Encoder:
     """Ids of texts by a tokenizers file.
 
@@ -60,62 +67,81 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.flat, self.starts = np.empty(0, np.int32), np.zeros(1, np.int64)
+        """Starts a new generation; words that are met again move on to it, the others go with the one before."""
+        self.older = getattr(self, "words", {})
+        self.words: dict[bytes, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Their ids end to end, and the number of each."""
-        size = np.zeros(len(words), np.int64)
-        easy, pieces_of = [], []
-        for i, w in enumerate(words):
-            core = w.rstrip(".,;:!?%$#&*|")
-            if core.isalpha() or not core:
-                easy.append(i)
-                pieces_of.append((core != "") + (core != w))
-        out: list = [None] * len(words)
-        parts = [(easy[k : k + 200], pieces_of[k : k + 200]) for k in range(0, len(easy), 200)]
-        for (at, n), ids in zip(parts, self._plain([" ".join(words[i] for i in at) for at, _ in parts])):
-            ids = np.array(ids, np.int32)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            last = np.cumsum(n) - 1
-            if len(stops) != last[-1] + 1:  # some word splits in another way: one by one
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Ids end to end, the number of each word, and the order of the words in these."""
+        # Runs of letters and runs of marks are one piece each; the last id of a piece is known by its suffix.
+        easy = [i for i, w in enumerate(words) if w.isalpha() or (w.isascii() and not _MIXED.search(w))]
+        ids, size, order = [], [], []
+        parts = [easy[k : k + 500] for k in range(0, len(easy), 500)]
+        odd = set(range(len(words))) - set(easy)
+        for at, found in zip(parts, self._plain([" ".join([words[i] for i in at]) for at in parts])):
+            found = np.array(found, np.int32)
+            stops = np.flatnonzero(self.ends[found]) + 1
+            if len(stops) != len(at):  # some word splits in another way: one by one
+                odd.update(at)
                 continue
-            cuts = np.append(0, stops[last])
-            for i, a, b in zip(at, cuts[:-1], cuts[1:]):
-                out[i] = ids[a:b]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(rest, self._plain([words[i] for i in rest])):
-            out[i] = np.array(ids, np.int32)
-        size[:] = [len(x) for x in out]
-        return np.concatenate(out) if out else np.empty(0, np.int32), size
+            ids.append(found)
+            size.append(np.diff(stops, prepend=0))
+            order += at
+        rest = sorted(odd)
+        each = self._plain([words[i] for i in rest])
+        ids.append(np.array([t for x in each for t in x], np.int32))
+        size.append(np.array([len(x) for x in each], np.int64))
+        return np.concatenate(ids), np.concatenate(size), order + rest
+
+    def _cuts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words as word_cuts() gives them; also cut where marks follow a letter a-z, where every piece ends anyway, and
+        A-Z lower-cased; neither where a special token may be in the texts."""
+        raw, _ = text_bytes(column)
+        special = b"<|" in raw.tobytes()
+        data, starts, counts = word_cuts(column, NOT_WHITE, lower=not special)
+        if special or len(data) < 2:
+            return data, starts, counts
+        more = _MARK[data]
+        more[1:] &= _LETTER[data[:-1]]
+        more[0] = False
+        more[starts[:-1]] = True
+        cuts = np.append(np.flatnonzero(more), len(data))
+        heads = np.append(0, np.cumsum(counts))
+        return data, cuts, np.diff(np.searchsorted(cuts, starts[heads]))
 
     def encode(self, column: pa.Array, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with end_id after it, end to end; and the number of each text. Null counts as empty."""
         if not self.by_words:
             each = [x + [end_id] for x in self._plain([t or "" for t in column.to_pylist()])]
             return np.array([i for x in each for i in x], np.int32), np.array([len(x) for x in each], np.int64)
-        data, starts, counts = word_cuts(column, NOT_WHITE, lower=False)
+        data, starts, counts = self._cuts(column)
         coded = binary_array(data, starts).dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if len(self.index) > CACHED_WORDS:
+        if len(self.words) > CACHED_WORDS:
             self._forget()
-        get = self.index.get
-        place = np.array([get(w, -1) for w in words], np.int64)
-        new = np.flatnonzero(place < 0)
-        if len(new):
-            ids, size = self.encode_words([words[i].decode() for i in new])
-            place[new] = np.arange(len(self.starts) - 1, len(self.starts) - 1 + len(new))
-            self.index.update((words[i], int(place[i])) for i in new)
-            self.flat = np.concatenate([self.flat, ids])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(size)])
+        kept, older = self.words, self.older
+        known = [kept.get(w) for w in words]
+        new = [i for i, x in enumerate(known) if x is None]
+        for i in new:
+            if (x := older.get(words[i])) is not None:
+                known[i] = kept[words[i]] = x
+        new = [i for i in new if known[i] is None]
+        if new:
+            ids, size, order = self.encode_words([words[i].decode() for i in new])
+            raw, ends = ids.tobytes(), (4 * np.cumsum(size)).tolist()
+            for i, low, high in zip(order, [0, *ends[:-1]], ends):
+                known[new[i]] = kept[words[new[i]]] = raw[low:high]
+        flat = np.frombuffer(b"".join(known), np.int32)
+        sizes_of = np.array([len(x) for x in known], np.int64) // 4
+        first_of = np.cumsum(sizes_of) - sizes_of
         # One more word stands for the end mark.
-        first, size = np.append(self.starts[:-1], len(self.flat)), np.append(np.diff(self.starts), 1)
+        first, size = np.append(first_of, len(flat)), np.append(sizes_of, 1)
         which = np.full(len(starts) - 1 + len(counts), len(first) - 1, np.int64)
-        which[np.arange(len(starts) - 1) + np.repeat(np.arange(len(counts)), counts)] = place[coded.indices.to_numpy(zero_copy_only=False)]
-        ids = np.append(self.flat, np.int32(end_id))[ranges(first[which], size[which])]
+        which[np.arange(len(starts) - 1) + np.repeat(np.arange(len(counts)), counts)] = coded.indices.to_numpy(zero_copy_only=False)
+        ids = np.append(flat, np.int32(end_id))[ranges(first[which], size[which])]
         heads = np.cumsum(counts + 1) - (counts + 1)
         return ids, np.add.reduceat(size[which], heads) if len(heads) else np.empty(0, np.int64)
 
