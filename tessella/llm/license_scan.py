@@ -97,6 +97,15 @@ def scan(docs: DataFrame, templates: DataFrame, containment: float = CONTAINMENT
     return every.groupBy("doc_id", "template_id").agg(F.max("containment").alias("containment"), F.count_distinct("first_word").alias("n_windows"), F.min("first_word").alias("first_word"))
 
 
+def _longs(values: list[int]) -> Column:
+    return F.expr("array(" + ", ".join("bigint('-9223372036854775808')" if v == -(2**63) else f"{v}L" for v in values) + ")")
+
+
+def _strings(shingles: list[str]) -> Column:
+    """Shingles hold neither quotes nor backslashes."""
+    return F.expr("array(" + ", ".join(f"'{s}'" for s in shingles) + ")")
+
+
 def _scan_block(docs: DataFrame, block: list, containment: float) -> DataFrame:
     """One scan for a block of templates, which are literals of the plan."""
     if not block:
@@ -116,15 +125,15 @@ def _scan_block(docs: DataFrame, block: list, containment: float) -> DataFrame:
     windows = [(SHORT, k * SHORT, F.least(f"m{k}", f"m{k + 1}")) for k in range(STRIDE // SHORT)]
     windows += [(LONG, k * LONG, F.least(*[f"m{i}" for i in range(k * per_long, (k + 2) * per_long) if i < span // SHORT])) for k in range(STRIDE // LONG)]
     least = least.select("doc_id", "words", "row", *[value.alias(f"w{i}") for i, (_, _, value) in enumerate(windows)])
-    tests = [(width, at, F.col(f"w{i}"), F.col(f"w{i}").isin(values[width])) for i, (width, at, _) in enumerate(windows) if values[width]]
+    tests = [(width, at, F.col(f"w{i}"), F.expr(f"w{i} IN ({', '.join(f'{v}L' for v in values[width])})")) for i, (width, at, _) in enumerate(windows) if values[width]]
     any_hit = tests[0][3]
     for t in tests[1:]:
         any_hit = any_hit | t[3]
     named = F.array(*[F.when(hit, F.struct(F.lit(width).alias("width"), (F.col("row") * STRIDE + at).alias("at"), value.alias("value"))) for width, at, value, hit in tests])
     near = least.select("doc_id", "words", F.explode(F.when(any_hit, named)).alias("w")).where("w is not null")
     every = F.array(*[
-        F.struct(F.lit(r["template_id"]).alias("template_id"), F.lit(SHORT if short(r) else LONG).alias("width"), F.array(*[F.lit(v) for v in sorted({v for piece in r["pieces"] for v in piece})]).alias("minima"),
-                 F.array(*[F.lit(x) for x in r["shingles"]]).alias("shingles"), F.lit(r["n"] if r["n"] - SHINGLE + 1 > LONG else 0).alias("margin"))
+        F.struct(F.lit(r["template_id"]).alias("template_id"), F.lit(SHORT if short(r) else LONG).alias("width"), _longs(sorted({v for piece in r["pieces"] for v in piece})).alias("minima"),
+                 _strings(r["shingles"]).alias("shingles"), F.lit(r["n"] if r["n"] - SHINGLE + 1 > LONG else 0).alias("margin"))
         for r in block
     ])
     retrieved = near.select("doc_id", "words", "w", F.explode(every).alias("t")).where((F.col("t.width") == F.col("w.width")) & F.array_contains("t.minima", F.col("w.value")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tessella.llm import decontaminate, language_model, license_scan, line_dedup, mixing, simhash, token_files, topk, toxicity, url_filter
 
 
@@ -18,7 +19,7 @@ def queries() -> dict:
         language_model.op9_lm_scoring,
         topk.op10_exact_top_k,
     ]
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

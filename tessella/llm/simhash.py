@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessella.llm.common import NOT_WHITE, clean_documents, pieces, stored, table, word_cuts
 
@@ -252,6 +253,13 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _grouped(prints: DataFrame, limit: int) -> DataFrame:
+    """fp, root, least_doc, copies of each distinct fingerprint of prints (doc_id, fp)."""
+    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least_doc"), F.count("*").alias("copies")), "simhash-nodes", "snappy")
+    roots = components(links(nodes, limit))
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, limit: int = DISTANCE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach), copies (rows of that fingerprint).
 
@@ -260,13 +268,37 @@ def near_duplicates(docs: DataFrame, limit: int = DISTANCE) -> DataFrame:
     the smallest of the others, or null if there are none. Columns but doc_id and text are not read.
     """
     prints = stored(fingerprints(docs), "simhash-prints", "snappy")
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least_doc"), F.count("*").alias("copies")), "simhash-nodes", "snappy")
-    roots = components(links(nodes, limit))
-    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    placed = _grouped(prints, limit)
     least = placed.groupBy("root").agg(F.min("least_doc").alias("component_id"))
     placed = stored(placed.join(least, "root").select("fp", "component_id", "copies"), "simhash-placed", "snappy")
     return prints.join(placed, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies")
 
 
+def one_of_each(docs: DataFrame, limit: int = DISTANCE) -> DataFrame:
+    """One row of each group, with all its columns: that of the smallest doc_id (null: the largest), then fingerprint, then place.
+
+    Rows are numbered as they are stored; a group's chosen row is found among these numbers, so repeated doc_ids do no harm.
+    """
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        place = TaskContext.get().partitionId() << 40
+        for part in pieces(batches, "text"):
+            fp = fingerprints_of(part.column(part.schema.get_field_index("text"))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fp), pa.array(np.arange(place, place + len(fp)))], names=[*part.schema.names, "simhash fp", "simhash place"])
+            place += len(fp)
+
+    named = StructType([*schema.fields, StructField("simhash fp", LongType()), StructField("simhash place", LongType())])
+    numbered = stored(docs.mapInArrow(run, named), "simhash-numbered")
+    rows = numbered.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("simhash fp").alias("fp"), F.col("simhash place").alias("place"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "place")).alias("first")
+    heads = rows.groupBy("fp").agg(first)  # one row for each fingerprint before groups meet
+    placed = _grouped(rows.select("doc_id", "fp"), limit).select("fp", "root")
+    chosen = heads.join(placed, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.place").alias("simhash place"))
+    return numbered.hint("merge").join(chosen, "simhash place", "left_semi").select(*[F.col(f"`{c}`") for c in schema.names])
+
+
 def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
