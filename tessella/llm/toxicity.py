@@ -1,6 +1,6 @@
 """Toxicity scores: a linear classifier over character n-grams that are scaled by naive Bayes log-count ratios.
 
-A feature is the presence of an n-gram of characters (A-Z lower-cased, hashed into `BUCKETS`) in a text.
+A feature is the presence of an n-gram of characters (lower-cased, hashed into `BUCKETS`) in a text.
 Its value is the log ratio of how often toxic and other texts hold it; a logistic regression learns the
 weights of the features whose frequencies differ significantly. Training takes at most `SAMPLE_ROWS`
 labelled texts, first by a hash of doc_id, and at most `SAMPLE_CHARS` of them; scoring reads all of every text.
@@ -13,28 +13,29 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import LOWER, clean_documents, labelled_sample, pieces, table, text_bytes
+from tessella.llm.common import clean_documents, labelled_sample, pieces, table, text_bytes
 
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 10_000
 SAMPLE_CHARS = 48_000_000
 ORDERS = (3, 4, 5, 6)
 BUCKET_BITS = 20
 FEATURES = 2048
 SIGNIFICANCE = 20.0  # least log-likelihood ratio of a feature
-RIDGE = 1e-3
+RIDGE = 3e-4
 PIECE_BYTES = 2 << 20
 
 
 def ngram_buckets(column: pa.Array, orders: tuple[int, ...] = ORDERS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each order: the text and the bucket of every n-gram position, and whether it lies within one text."""
-    raw, offsets = text_bytes(column)
+    raw, offsets = text_bytes(pc.utf8_lower(column))
     if not len(raw):
         return
-    chars = np.frombuffer(LOWER[raw].tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+    chars = np.frombuffer(raw.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
     heads = np.append(0, np.cumsum((raw & 0xC0) != 0x80))[offsets]
     text = np.repeat(np.arange(len(heads) - 1, dtype=np.int32), np.diff(heads))
     h = chars * np.uint32(2654435761)
@@ -99,16 +100,37 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
     pairs = [(i + t, f) for i, part in parts for t, f in [model.features(part)]]
     row, feature = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
     value = model.weight[feature]
-    # Logistic regression by gradient steps with momentum; the scaled features keep one ridge for all.
-    weight, bias, speed = np.zeros(len(chosen)), float(np.log(prior / (1 - prior))), np.zeros(len(chosen) + 1)
-    power = np.bincount(row, value**2, len(texts)).max(initial=0) + 1
-    step = 4.0 / power
-    for _ in range(600):
-        z = bias + np.bincount(row, value * weight[feature], len(texts))
-        error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels
-        gradient = np.append(np.bincount(feature, value * error[row], len(chosen)) / len(texts) + RIDGE * weight, error.mean())
-        speed = 0.95 * speed - step * gradient
-        weight, bias = weight + speed[:-1], bias + speed[-1]
+    # Logistic regression by Newton's method; each step by conjugate gradients. The last column is the bias.
+    n, size = len(texts), len(chosen)
+    times = lambda v: np.bincount(row, value * v[feature], n) + v[size]
+    back = lambda e: np.append(np.bincount(feature, value * e[row], size), e.sum())
+    ridge = np.append(np.full(size, RIDGE * n), 1e-9)
+    theta = np.append(np.zeros(size), np.log(prior / (1 - prior)))
+
+    def cost(t: np.ndarray) -> float:
+        z = times(t)
+        return float(np.logaddexp(0, z).sum() - z @ labels + 0.5 * (ridge * t * t).sum())
+
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(times(theta), -30, 30)))
+        gradient, curve = back(p - labels) + ridge * theta, p * (1 - p)
+        if np.abs(gradient).max() < 1e-6 * n:
+            break
+        step, left = np.zeros(size + 1), -gradient
+        along, norm = left.copy(), left @ left
+        for _ in range(100):
+            turned = back(curve * times(along)) + ridge * along
+            far = norm / (along @ turned)
+            step, left = step + far * along, left - far * turned
+            before, norm = norm, left @ left
+            if norm < 1e-6 * (gradient @ gradient):
+                break
+            along = left + norm / before * along
+        now, scale = cost(theta), 1.0
+        while cost(theta + scale * step) > now and scale > 1e-4:
+            scale /= 2
+        theta = theta + scale * step
+    weight, bias = theta[:size], theta[size]
     return Model(slot, model.weight * weight, float(bias))
 
 
