@@ -82,8 +82,8 @@ def nearest_join(points: DataFrame, centers: DataFrame) -> DataFrame:
     return points.join(F.broadcast(every)).select("obs_id", best["cid"].alias("cid"))
 
 
-def two_nearest(points: DataFrame, centers: np.ndarray) -> DataFrame:
-    """(obs_id, best, second), by distance, then cid. Needs two centres."""
+def two_nearest(points: DataFrame, centers: np.ndarray, keep_x: bool = False) -> DataFrame:
+    """(obs_id, best, second), and x on request, by distance, then cid. Needs two centres."""
     centers = np.asarray(centers, float)
     if len(centers) < 2:
         raise ValueError("two centres are needed")
@@ -93,9 +93,10 @@ def two_nearest(points: DataFrame, centers: np.ndarray) -> DataFrame:
             x = matrix(batch.column(1))
             for s in slices(len(x), len(centers)):
                 best, second = two_best(squared_distances(x[s], centers))
-                yield pa.record_batch([batch.column(0)[s], pa.array(best, pa.int32()), pa.array(second, pa.int32())], names=["obs_id", "best", "second"])
+                columns = [batch.column(0)[s], pa.array(best, pa.int32()), pa.array(second, pa.int32()), *([batch.column(1)[s]] if keep_x else [])]
+                yield pa.record_batch(columns, names=["obs_id", "best", "second", "x"][: len(columns)])
 
-    return points.select("obs_id", "x").mapInArrow(run, "obs_id long, best int, second int")
+    return points.select("obs_id", "x").mapInArrow(run, "obs_id long, best int, second int" + (", x array<double>" if keep_x else ""))
 
 
 def two_best(d2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -148,7 +148,7 @@ class HartiganWong:
             raise ValueError(f"{n} observations; Hartigan-Wong is sequential and takes at most max_rows = {self.max_rows}. Use Lloyd or MiniBatch.")
         from tessella.plans.session import durable
 
-        near = points.join(two_nearest(points, centers), "obs_id").withColumn("all", F.lit(0))
+        near = two_nearest(points, centers, keep_x=True).withColumn("all", F.lit(0))
         limits = (self.max_iterations, self.max_quick_transfer_iterations, self.quit_on_quick_transfer_convergence_failure)
 
         def transfer(frame: pd.DataFrame) -> pd.DataFrame:

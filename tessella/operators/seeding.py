@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.distance import squared_distance_to
 from tessella.operators.aggregate import moments
-from tessella.operators.assign import matrix
+from tessella.operators.assign import matrix, slices, squared_distances, unrolled
 from tessella.sources.points import gather
 
 
@@ -92,8 +92,21 @@ class KmeansPlusPlus:
 
     @staticmethod
     def _lowered(state: DataFrame, pending: list[np.ndarray], first: bool) -> DataFrame:
-        d2 = [squared_distance_to(F.col("x"), c) for c in pending] + ([] if first else [F.col("mind")])
-        return state.withColumn("mind", F.least(*d2) if len(d2) > 1 else d2[0])
+        """mind: the least squared distance to any seed; only the pending ones are measured."""
+        seeds = np.array(pending)
+        if unrolled(seeds):
+            d2 = [squared_distance_to(F.col("x"), c) for c in pending] + ([] if first else [F.col("mind")])
+            return state.withColumn("mind", F.least(*d2) if len(d2) > 1 else d2[0])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = matrix(batch.column(1))
+                low = np.full(len(x), np.inf) if first else batch.column(2).to_numpy()
+                parts = [squared_distances(x[s], seeds).min(1) for s in slices(len(x), len(seeds))]
+                low = np.minimum(low, np.concatenate(parts)) if parts else low
+                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(low)], names=["obs_id", "x", "mind"])
+
+        return state.mapInArrow(run, "obs_id long, x array<double>, mind double")
 
     def _pick(self, weighted: DataFrame, n: int, u: float) -> int | None:
         """The first obs_id at which the running sum of weights reaches u times their total."""
