@@ -7,14 +7,19 @@ totals, the sum of r t p, from the targets, by projected gradient:
 
     r <- max(0, r - p . G^-1 (sum of r t p - target)),    G = sum of t p p'
 
-(the gradient in the metric in which one step is the largest safe one). A document's rate follows from
-its posteriors and the few numbers that each step adds, so a step is one aggregation of stored
-posteriors, nothing about documents reaches the driver and no rates are joined.
+(the gradient in the metric in which one step is the largest safe one). Where many rates stay at 0 such steps
+creep, so after `STEPS` of them implicit steps follow, each as far as `LENGTHS` of them: the same update with
+the totals that it leads to, found by Newton's method on its d multipliers. The fit ends when the totals meet the
+targets within `TOLERANCE`, or when a long step moves them no more: then these are the nearest totals that
+rates can reach, and a warning tells the gap. A fit that ends by neither raises an error. A document's rate follows
+from its posteriors and the few numbers that each step adds, so a step is one aggregation of stored posteriors
+(an implicit one some), nothing about documents reaches the driver and no rates are joined.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +37,9 @@ SAMPLE_CHARS = 48_000_000
 BUCKET_BITS = 16
 PIECE_BYTES = 4 << 20
 STEPS = 40
+LENGTHS = (1e2, 1e4, 1e6)
+LONG_STEPS = 12  # the last length is repeated
+NEWTON_ROUNDS = 50
 TOLERANCE = 1e-6
 EVIDENCE = (4, 8, 16, 32, 64, 128, 256, 512)
 
@@ -127,6 +135,11 @@ class Mix:
     totals: np.ndarray  # expected tokens of each domain
     targets: np.ndarray
 
+    @property
+    def gap(self) -> float:
+        """The distance of the totals from the targets, as a share of these."""
+        return float(np.abs(self.totals - self.targets).sum() / max(self.targets.sum(), 1))
+
 
 def _sums(parts: DataFrame, size: int, of) -> np.ndarray:
     """The sum over all rows of what `of` (tokens, posteriors) returns for a batch; one row for each task reaches the driver."""
@@ -159,17 +172,68 @@ def fit(docs: DataFrame, classifier: Classifier, weights: dict[str, float], tota
     gram, totals = first[: d * d].reshape(d, d), first[d * d :]
     share = np.array([max(weights.get(x, 0.0), 0.0) for x in classifier.domains])
     targets = share / (share.sum() or 1) * (totals.sum() if total is None else total)
-    inverse = np.linalg.pinv(gram, rcond=1e-10)
-    done = np.empty((0, d))
+    values, vectors = np.linalg.eigh(gram)
+    some = values > 1e-10 * values.max(initial=0)
+    white = vectors[:, some] / np.sqrt(values[some])
+    done, last = np.empty((0, d)), np.inf
+
+    def met(moved: float) -> bool:
+        return bool(np.abs(totals - targets).sum() <= TOLERANCE * max(targets.sum(), 1)) or moved <= TOLERANCE * max(targets.sum(), 1)
+
     for _ in range(steps):
-        gap = totals - targets
-        if np.abs(gap).sum() <= TOLERANCE * max(targets.sum(), 1):
+        if met(last):
             break
-        done = np.vstack([done, inverse @ gap])
+        done = np.vstack([done, white @ (white.T @ (totals - targets))])
         before, totals = totals, _sums(parts, d, lambda t, p, done=done: (t * rates_of(p, done)) @ p)
-        if np.abs(totals - before).sum() <= TOLERANCE * max(targets.sum(), 1):
+        last = np.abs(totals - before).sum()
+    last = np.inf  # a short step may move little far from the end
+    for length in (*LENGTHS, *[LENGTHS[-1]] * (LONG_STEPS - len(LENGTHS))):
+        if met(last):
+            break
+        step, after = _implicit(parts, done, totals, targets, white, length)
+        done, last, totals = np.vstack([done, step]), np.abs(after - totals).sum() if length == LENGTHS[-1] else np.inf, after
+    found = Mix(classifier, done, totals, targets)
+    if not met(last):
+        raise RuntimeError(f"The rates did not converge: the totals are {found.gap:.2g} of the targets away and still move.")
+    if found.gap > TOLERANCE:
+        warnings.warn(f"No rates meet the targets: the nearest totals are {found.gap:.2g} of them away.", stacklevel=2)
+    return found
+
+
+def _implicit(parts: DataFrame, done: np.ndarray, totals: np.ndarray, targets: np.ndarray, white: np.ndarray, length: float) -> tuple[np.ndarray, np.ndarray]:
+    """The step s with s = length G^-1 (totals after it - targets), and these totals.
+
+    By Newton's method for the minimum over m (s = white m) of sum of t r^2 / 2 + m . white' targets + m . m / (2 length),
+    which is convex and whose gradient vanishes at s.
+    """
+    d, k = white.shape
+    tokens = max(totals.sum(), targets.sum(), 1)
+
+    def at(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        steps = np.vstack([done, white @ m])
+
+        def of(t: np.ndarray, p: np.ndarray) -> np.ndarray:
+            r = rates_of(p, steps)
+            q = p[r > 0]
+            return np.concatenate([[t @ (r * r)], (t * r) @ p, ((q * t[r > 0][:, None]).T @ q).ravel()])
+
+        sums = _sums(parts, 1 + d + d * d, of)
+        after, curve = sums[1 : 1 + d], white.T @ sums[1 + d :].reshape(d, d) @ white + np.eye(k) / length
+        return sums[0] / 2 + m @ (white.T @ targets) + m @ m / (2 * length), white.T @ (after - targets) - m / length, curve, after
+
+    m = np.zeros(k)
+    value, downhill, curve, after = at(m)
+    for _ in range(NEWTON_ROUNDS):
+        if downhill @ downhill <= (1e-3 * TOLERANCE) ** 2 * tokens:
             break
-    return Mix(classifier, done, totals, targets)
+        way, scale = np.linalg.solve(curve, downhill), 1.0
+        while True:
+            new = at(m + scale * way)
+            if new[0] <= value - 1e-4 * scale * (downhill @ way) + 1e-13 * abs(value) or scale < 1e-9:
+                break
+            scale /= 2
+        m, (value, downhill, curve, after) = m + scale * way, new
+    return white @ m, after
 
 
 def rated(docs: DataFrame, found: Mix) -> DataFrame:

@@ -49,6 +49,58 @@ def test_negative_pull_is_clipped(spark):
     assert got[got.domain == "x"].rate.max() < 0.05 and got[got.domain == "a"].rate.min() == pytest.approx(2, abs=0.1)
 
 
+class Given:
+    """A classifier whose posteriors are written in the texts."""
+
+    domains = [f"{lang}-{quality}" for lang in ("de", "en", "es", "fr") for quality in ("good", "poor")]
+
+    def posteriors(self, column):
+        return np.array([[float(x) for x in t.split()[0].split(",")] for t in column.to_pylist()])
+
+
+def skewed(spark, english, poor, n=3000):
+    """Documents with soft posteriors, most of them English and many poor: texts, tokens, posteriors."""
+    r = np.random.default_rng(3)
+    lang, bad = r.choice(4, n, p=[(1 - english) / 3, english, (1 - english) / 3, (1 - english) / 3]), (r.random(n) < poor).astype(int)
+    z = r.normal(0, 1.5, (n, 8))
+    z[np.arange(n), 2 * lang + bad] += 4.5
+    z[np.arange(n), 2 * lang + 1 - bad] += 2.2
+    p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+    tokens = 1 + r.integers(0, 60, n)
+    texts = [",".join(map(repr, x.tolist())) + " w" * (t - 1) for x, t in zip(p, tokens)]
+    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), tokens.astype(float), p
+
+
+@pytest.mark.parametrize("english, poor", [(0.85, 0.4), (0.94, 0.5)])
+def test_skewed_corpus_meets_its_targets(spark, english, poor):
+    """Many rates are 0, so that short steps alone take hundreds of rounds."""
+    docs, tokens, p = skewed(spark, english, poor)
+    found = mixing.fit(docs, Given(), mixing.WEIGHTS)
+    rates = mixing.rates_of(p, found.steps)
+    assert (rates == 0).mean() > 0.4
+    totals = (rates * tokens) @ p
+    assert np.allclose(totals, found.totals) and np.allclose(totals, found.targets, rtol=1e-3) and found.gap <= mixing.TOLERANCE
+    gram, want = (p * tokens[:, None]).T @ p, np.ones(len(tokens))
+    for _ in range(20000):
+        want = np.maximum(0, want - p @ np.linalg.solve(gram, (want * tokens) @ p - found.targets))
+    assert np.abs((want * tokens) @ p - found.targets).sum() < 1e-3 * found.targets.sum()
+    assert np.sqrt(np.mean((rates - want) ** 2)) < 0.01 * np.sqrt(np.mean(want**2))
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    """Every document is half of b, so b cannot be without a."""
+    text = ",".join(["0.5", "0.5"] + ["0"] * 6) + " w w w"
+    other = ",".join(["0.9", "0.1"] + ["0"] * 6) + " w w w"
+    docs = spark.createDataFrame([(i, text if i % 2 else other) for i in range(20)], "doc_id long, text string")
+    with pytest.warns(UserWarning, match="No rates meet the targets"):
+        found = mixing.fit(docs, Given(), {"de-poor": 1.0})
+    p = np.array([[0.5, 0.5], [0.9, 0.1]])
+    gram = (p * 40).T @ p
+    a = np.linalg.cholesky(np.linalg.inv(gram)).T
+    best = min(np.linalg.norm(a @ (40 * r * p[0] - [0, 80])) for r in np.linspace(0, 5, 5001))
+    assert np.linalg.norm(a @ (found.totals[:2] - [0, 80])) == pytest.approx(best, rel=1e-3)
+
+
 def test_odd_input(spark):
     docs = spark.createDataFrame([(1, None, 1.0), (2, "", 1.0), (None, "ab", 1.0), (3, "é " * 100000, 1.0), (3, "é " * 100000, 1.0)], "doc_id long, text string, p double")
     labels = spark.createDataFrame([], "doc_id long, quality int")
