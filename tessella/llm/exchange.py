@@ -9,13 +9,14 @@ rows that Spark shuffles, so a lost executor costs their recomputation from the
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHARD_KEYS = 1 << 20
@@ -112,6 +113,12 @@ def answer(messages: DataFrame, reply: Callable[[np.ndarray, list[np.ndarray], n
     return messages.groupBy("shard").applyInPandas(run, "chunk long, shard int, body binary, stats array<long>")
 
 
+def free_messages(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to; its cleaner waits for the driver's JVM to collect garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def with_answers(chunks: DataFrame, *answers: DataFrame) -> DataFrame:
     """The chunks, each with its answers in order of shard: arrays reply0, reply1 and so on (null: it asked nothing)."""
     for i, a in enumerate(answers):

@@ -21,9 +21,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import NOT_WHITE, binary_array, clean_documents, pieces, stored, table, word_cuts
-from tessella.llm.exchange import answer, answered, ask, group_sums, joined, mix, parted, shard_number, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted, with_answers
+from tessella.llm.exchange import answer, answered, ask, free_messages, group_sums, joined, mix, parted, shard_number, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted, with_answers
 
-ORDER = 2
+ORDER = 3
 CHUNK_BYTES = 4 << 20
 #: Hashes of the marks before a text's first word and after its last; no word has them but by chance.
 BEGIN, END = np.uint64(0x5BE0CD19137E2179), np.uint64(0x1F83D9ABFB41BD6B)
@@ -162,6 +162,7 @@ def scores(docs: DataFrame, train: Column, order: int = ORDER) -> DataFrame:
             return keys, [here]
 
         replies.append(stored(answer(ask(chunks, question, shard_number(n_keys if n == 1 else n_tokens)), reply), f"lm-counts{n}", "snappy"))
+        free_messages(docs.sparkSession)  # so that the disk holds one order's messages at a time
         if n == 1:
             distinct = replies[0].where("chunk is null").agg(F.sum(F.col("stats")[0])).first()[0] or 0
     uniform = 1 / (distinct + 1)
@@ -197,6 +198,8 @@ def scores(docs: DataFrame, train: Column, order: int = ORDER) -> DataFrame:
 
     histogram = full.select("payload", *names).mapInArrow(deleted, "code long, times long").groupBy("code").agg(F.sum("times").alias("times")).orderBy("code")
     weights = learn([(*uncode(x["code"]), x["times"]) for x in histogram.toLocalIterator()], order, uniform)
+    del histogram
+    free_messages(docs.sparkSession)
     pooled = weights.pop(-1, np.append(1.0, np.zeros(order)))
     number = np.array(sorted(weights), np.int64)
     matrix = np.array([weights[k] for k in sorted(weights)] + [pooled])

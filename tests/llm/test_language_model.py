@@ -96,6 +96,14 @@ def test_matches_slow_model(spark, monkeypatch, order):
         assert x[4] == pytest.approx(y[4]) and x[5] == pytest.approx(y[5], rel=0.01)
 
 
+def test_query_has_contexts_of_two_words(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r["doc_id"]: r["score"] for r in lm.op9_lm_scoring(spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want, less = ({r["doc_id"]: r["score"] for r in lm.scores(docs, lm.fold() != 1, order).collect()} for order in (3, 2))
+    assert got == pytest.approx(want, rel=1e-9) and got != pytest.approx(less, rel=1e-3)
+
+
 def test_probabilities_and_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert lm.scores(docs, F.lit(True)).collect() == []
