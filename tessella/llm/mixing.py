@@ -1,7 +1,7 @@
 """Mixing to target weights with soft domain membership.
 
 A labelled table trains a naive Bayes classifier over hashed byte trigrams, whose posteriors say how much
-of a document belongs to each domain. Each document then gets a rate r >= 0, the expected number of its
+of a document belongs to each domain. It counts the trigrams of all labelled documents, in a distributed pass. Each document then gets a rate r >= 0, the expected number of its
 copies. With t its tokens and p its posteriors, the rates minimise the distance of the expected domain
 totals, the sum of r t p, from the targets, by projected gradient:
 
@@ -29,11 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import LOWER, NOT_WHITE, clean_documents, labelled_sample, pieces, stored, table, text_bytes
+from tessella.llm.common import LOWER, NOT_WHITE, clean_documents, pieces, stored, table, text_bytes
 from tessella.llm.exchange import mix
 
-SAMPLE_ROWS = 8000
-SAMPLE_CHARS = 48_000_000
 BUCKET_BITS = 16
 PIECE_BYTES = 4 << 20
 STEPS = 40
@@ -74,13 +72,19 @@ class Classifier:
         return out, n
 
     def posteriors(self, column: pa.Array, evidence: float | None = None) -> np.ndarray:
-        total, n = self.likelihoods(column)
-        evidence = evidence or self.evidence
+        return self.posteriors_of(*self.likelihoods(column), evidence or self.evidence)
+
+    def posteriors_of(self, total: np.ndarray, n: np.ndarray, evidence: float) -> np.ndarray:
         z = self.prior + total * (np.minimum(n, evidence) / np.maximum(n, 1))[:, None]
         p = np.exp(z - z.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
 
+def smoothed(domains: list[str], texts: np.ndarray, counts: np.ndarray, evidence: float) -> Classifier:
+    """From counts, already smoothed, of each domain's texts and trigrams."""
+    return Classifier(domains, np.log(texts / texts.sum()), np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32), evidence)
+
+
 def train(texts: list[str], labels: list[str], domains: list[str] | None = None) -> Classifier:
     """A fifth of the sample chooses the evidence that a text may bring, by log loss; all of it gives the weights.
 
@@ -97,7 +101,7 @@ def train(texts: list[str], labels: list[str], domains: list[str] | None = None)
             prior[number[labels[i]]] += 1
             if len(raw) > 2:
                 counts[number[labels[i]]] += np.bincount(_trigrams(raw), minlength=1 << BUCKET_BITS)
-        return Classifier(domains, np.log(prior / prior.sum()), np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32), evidence)
+        return smoothed(domains, prior, counts, evidence)
 
     every = [i for i, x in enumerate(labels) if x in number]
     tuned, rest = every[::5], [i for k, i in enumerate(every) if k % 5]
@@ -110,6 +114,53 @@ def train(texts: list[str], labels: list[str], domains: list[str] | None = None)
     return counted(every, best)
 
 
+def train_on(rows: DataFrame, domains: list[str]) -> Classifier:
+    """As train, on all rows (doc_id, text, label), by two scans; a fifth by a hash of doc_id is that which chooses the evidence.
+
+    The domains' trigram counts reach the driver, added up before. Null texts and labels that are no domain are left out.
+    """
+    d, buckets = len(domains), 1 << BUCKET_BITS
+    number = F.array_position(F.array(*[F.lit(x) for x in domains]), F.col("label")).cast("int") - 1
+    tuned = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0, F.lit(False))
+    rows = stored(rows.select("text", number.alias("number"), tuned.alias("tuned")).where("text is not null and number >= 0"), "mix-labelled")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, counts = np.zeros(2 * d, np.int64), np.zeros(2 * d * buckets, np.int64)
+        for part in pieces(batches, "text", PIECE_BYTES):
+            raw, offsets = text_bytes(part.column(0))
+            kind = part.column(1).to_numpy() + d * part.column(2).to_numpy(zero_copy_only=False)
+            texts += np.bincount(kind, minlength=2 * d)
+            n = np.diff(offsets)
+            if len(raw) > 2:
+                inside = np.repeat(np.cumsum(n), n)[:-2] >= np.arange(3, len(raw) + 1)
+                counts += np.bincount((np.repeat(kind, n)[:-2] * buckets + _trigrams(raw))[inside], minlength=len(counts))
+        at = np.flatnonzero(counts)
+        yield pa.record_batch([pa.array(np.append(at, -1 - np.arange(2 * d)), pa.int32()), pa.array(np.append(counts[at], texts), pa.int64())], names=["at", "n"])
+
+    found = rows.mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    at, n = found["at"].to_numpy(), found["n"].to_numpy()
+    texts, counts = np.zeros(2 * d), np.zeros(2 * d * buckets)
+    texts[-1 - at[at < 0]], counts[at[at >= 0]] = n[at < 0], n[at >= 0]
+    texts, counts = texts.reshape(2, d), counts.reshape(2, d, buckets)
+    best = EVIDENCE[0]
+    if texts[0].any() and texts[1].any():
+        held = rows.sparkSession.sparkContext.broadcast(smoothed(domains, texts[0] + 1, counts[0] + 1, best))
+
+        def loss(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            total = np.zeros(len(EVIDENCE))
+            for part in pieces(batches, "text", PIECE_BYTES):
+                truth = part.column(1).to_numpy()
+                seen = held.value.likelihoods(part.column(0))
+                total -= [np.log(np.maximum(held.value.posteriors_of(*seen, e)[np.arange(len(truth)), truth], 1e-12)).sum() for e in EVIDENCE]
+            yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total])], names=["task", "total"])
+
+        losses = sorted((r["task"], r["total"]) for r in rows.where("tuned").mapInArrow(loss, "task int, total array<double>").collect())
+        best = EVIDENCE[int(np.argmin([math.fsum(x[k] for _, x in losses) for k in range(len(EVIDENCE))]))]
+    return smoothed(domains, texts.sum(0) + 1, counts.sum(0) + 1, best)
+
+
 def token_counts(column: pa.Array) -> np.ndarray:
     """Words, separated by white space, of each text."""
     raw, offsets = text_bytes(column)
@@ -276,15 +327,17 @@ WEIGHTS = {f"{lang}-{quality}": share * part for lang, share in (("de", 0.2), ("
 
 
 def domain_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id and label: language and labelled quality, of those with both."""
+    """doc_id, text and label: language and labelled quality, of the documents with both."""
+    # One plan at all sizes: labels grow with the documents.
     quality = F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
-    named = docs.select(F.col("doc_id"), "lang").where("lang in ('de', 'en', 'es', 'fr')")
-    return labels.select("doc_id", quality.alias("quality")).join(named, "doc_id").select("doc_id", F.concat_ws("-", "lang", "quality").alias("label")).where("quality is not null")
+    named = clean_documents(docs, "doc_id", "lang", "text").where("lang in ('de', 'en', 'es', 'fr') and text is not null")
+    judged = labels.select("doc_id", quality.alias("quality")).where("quality is not null")
+    return named.hint("merge").join(judged, "doc_id").select("doc_id", "text", F.concat_ws("-", "lang", "quality").alias("label"))
 
 
 def fit_to_weights(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS) -> Mix:
-    sample = labelled_sample(docs, domain_labels(docs, labels), SAMPLE_ROWS, SAMPLE_CHARS)
-    return fit(docs, train([t for _, t, _ in sample], [x for _, _, x in sample], sorted(weights)), weights)
+    """The classifier is fitted on every document with a label, whatever their number and length."""
+    return fit(docs, train_on(domain_labels(docs, labels), sorted(weights)), weights)
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,6 +87,17 @@ def test_skewed_corpus_meets_its_targets(spark, english, poor):
     assert np.sqrt(np.mean((rates - want) ** 2)) < 0.01 * np.sqrt(np.mean(want**2))
 
 
+def test_classifier_counts_all_labelled_rows(spark):
+    """More labelled rows than any sample took; the last ones alone are French and poor."""
+    rows = [(i, f"word{i % 50} né\t{i}" if i % 7 else "ab", "en" if i < 9500 else "fr", int(i < 9500)) for i in range(10000)]
+    docs = spark.createDataFrame([*rows, (10000, None, "de", 1), (10001, "ohne", "xx", 1)], "doc_id long, text string, lang string, quality int")
+    found = mixing.train_on(mixing.domain_labels(docs.drop("quality"), docs.select("doc_id", "quality")), sorted(mixing.WEIGHTS))
+    want = mixing.train([r[1] for r in rows], ["en-good" if r[3] else "fr-poor" for r in rows], sorted(mixing.WEIGHTS))
+    assert np.allclose(found.prior, want.prior) and np.allclose(found.weight, want.weight)
+    whole = mixing.fit_to_weights(docs.drop("quality"), docs.select("doc_id", "quality")).classifier
+    assert np.allclose(whole.prior, want.prior) and whole.evidence in mixing.EVIDENCE
+
+
 def test_targets_out_of_reach_are_reported(spark):
     """Every document is half of b, so b cannot be without a."""
     text = ",".join(["0.5", "0.5"] + ["0"] * 6) + " w w w"
