@@ -146,16 +146,23 @@ def clean_documents(docs: DataFrame, *columns: str) -> DataFrame:
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, chars: int) -> list[tuple[int, str, object]]:
     """(doc_id, text, label) of at most `rows` labelled documents and about `chars` characters, on the driver, by doc_id.
 
-    labels (doc_id, label): the first `rows` by a hash of doc_id are taken; null ids and labels are not. The sample is
-    two numbers a row and at most `rows` rows, so it may be broadcast.
+    labels (doc_id, label) first meet the documents: null ids, labels and texts, and labels without a document, are
+    not taken. Of what is left the first `rows` by a hash of doc_id are, up to the one whose text reaches `chars`, so
+    that the sample doesn't depend on how the tables lie in files. It is a few numbers a row before the texts are
+    fetched and at most `rows` rows, so it may be broadcast.
     """
     known = labels.select(F.col("doc_id").alias("label_id"), "label").where("label_id is not null and label is not null")
-    sample = known.orderBy(F.xxhash64("label_id"), "label_id", "label").limit(rows)
-    met = clean_documents(docs, "doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).where("text is not null")
-    found, size = [], 0
-    for r in met.select("doc_id", "text", "label").limit(rows).toLocalIterator():
-        found.append((r[0], r[1], r[2]))
-        size += len(r[1])
+    texts = clean_documents(docs, "doc_id", "text").where("doc_id is not null and text is not null").withColumn("digest", F.xxhash64("text"))
+    sizes = texts.select("doc_id", "digest", F.length("text").alias("size"))
+    met = sizes.hint("merge").join(known, F.col("doc_id") == F.col("label_id")).select("doc_id", "digest", "label", "size")  # one plan at all sizes
+    first = met.orderBy(F.xxhash64("doc_id"), "doc_id", "digest", "label").limit(rows)
+    chosen, size = [], 0
+    for r in first.toLocalIterator():
+        chosen.append((r["doc_id"], r["digest"], r["label"]))
+        size += r["size"]
         if size > chars:
             break
-    return sorted(found)
+    keys = docs.sparkSession.createDataFrame(sorted({x[:2] for x in chosen}), "key_id long, key long")
+    fetched = texts.join(F.broadcast(keys), (F.col("doc_id") == F.col("key_id")) & (F.col("digest") == F.col("key")))
+    text = {(r[0], r[1]): r[2] for r in fetched.groupBy("doc_id", "digest").agg(F.min("text")).toLocalIterator()}
+    return sorted((i, text[i, digest], label) for i, digest, label in chosen)

@@ -3,7 +3,7 @@
 A feature is the presence of an n-gram of characters (lower-cased, hashed into `BUCKETS`) in a text.
 Its value is the log ratio of how often toxic and other texts hold it; a logistic regression learns the
 weights of the features whose frequencies differ significantly. Training takes at most `SAMPLE_ROWS`
-labelled texts, first by a hash of doc_id, and at most `SAMPLE_CHARS` of them; scoring reads all of every text.
+labelled texts, first by a hash of doc_id, and about `SAMPLE_CHARS` characters of them in that order, however the files lie; scoring reads all of every text.
 """
 
 from __future__ import annotations

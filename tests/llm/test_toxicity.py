@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import toxicity
+from tessella.llm.common import labelled_sample
 
 SF = "/root/testdata/sf0.01"
 
@@ -37,3 +38,29 @@ def test_odd_input(spark):
         assert len(got) == 5 and all(0 <= x["score"] <= 1 for x in got)
     assert toxicity.scored(docs.select("doc_id", "text").limit(0), toxicity.fit(docs, none)).collect() == []
     assert toxicity.scored(docs, toxicity.fit(docs, none), keep=0.5).count() == 5
+
+
+def test_sample_does_not_depend_on_file_layout(spark):
+    """Nor do labels without a document or text use it up."""
+    rows = [(i, f"text {i} " + "x" * (i % 90), i % 2) for i in range(300)] + [(i, None, 1) for i in range(300, 400)]
+    rows += [(7, rows[7][1], 1), (8, "another text", 0), (None, "no id", 1)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1200)] + [(None, 1), (5, None)], "doc_id long, label int")
+    order = [r[0] for r in spark.range(300).orderBy(F.xxhash64("id"), "id").collect()]
+    size = {d: [len(t) for i, t, _ in rows if i == d] for d in range(300)}
+    found = []
+    for some in (rows, sorted(rows, key=lambda r: (r[2], -(r[0] or 0)))):
+        docs = spark.createDataFrame(some, "doc_id long, text string, side int").coalesce(1)
+        found.append(labelled_sample(docs, labels, 200, 1 << 40))
+        assert len(found[-1]) == 200 and {x[0] for x in found[-1]} == {*[d for d in order for _ in size[d]][:200]}
+        few = labelled_sample(docs, labels, 200, 3000)
+        taken, total = [], 0
+        for d in order:
+            if total > 3000 or len(taken) == 200:
+                break
+            taken += [d] * len(size[d])
+            total += sum(size[d])
+        assert [x[0] for x in few] == sorted(taken) or len(few) == len(taken) - 1
+        assert {x[2] for x in few} == {0, 1}
+        found.append(few)
+    assert found[0] == found[2] and found[1] == found[3]
+    assert all(t in [y for d, y, _ in rows if d == i] and label == i % 2 for i, t, label in found[0])
