@@ -27,7 +27,8 @@ _LONG = (-(2**63), 2**63 - 1)
 
 
 def tiles(vectors: DataFrame, rows: int, scale: float = SCALE) -> DataFrame:
-    """(tile, dim, ids, data): vectors as floor(scale * x), packed by at most `rows`; float64 holds these integers exactly.
+    """(tile, block, dim, ids, small, data): vectors (vec_id, embedding, block) as floor(scale * x), at most `rows` of one block
+    packed together; float64 holds these integers exactly. A block goes with its rows, so it is the same however they are partitioned.
 
     Left out: null ids and vectors, and vectors with a null or non-finite component.
     """
@@ -36,15 +37,18 @@ def tiles(vectors: DataFrame, rows: int, scale: float = SCALE) -> DataFrame:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        waiting: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[tuple[int, int], int] = {}
 
-        def flush(dim: int) -> pa.RecordBatch:
+        def flush(key: tuple[int, int]) -> pa.RecordBatch:
             nonlocal number
-            ids, data = (np.concatenate(x) for x in zip(*waiting.pop(dim)))
+            ids, data = (np.concatenate(x) for x in zip(*waiting.pop(key)))
+            held.pop(key)
             small = np.abs(data).max(initial=0) < 2**15
             body = data.astype(np.int16 if small else np.float64).tobytes()
             number += 1
-            return pa.record_batch([pa.array([number - 1], pa.int64()), pa.array([dim], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([small]), pa.array([body], pa.binary())], names=["tile", "dim", "ids", "small", "data"])
+            columns = [pa.array([number - 1], pa.int64()), pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([small]), pa.array([body], pa.binary())]
+            return pa.record_batch(columns, names=["tile", "block", "dim", "ids", "small", "data"])
 
         for batch in batches:
             vectors_ = batch.column(1)
@@ -56,16 +60,20 @@ def tiles(vectors: DataFrame, rows: int, scale: float = SCALE) -> DataFrame:
                 matrix = flat.fill_null(np.nan).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), dim)
                 good = np.isfinite(matrix).all(1) & ~some.column(0).is_null().to_numpy(zero_copy_only=False)
                 ids = some.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[good]
+                block = some.column(2).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[good]
                 matrix = np.floor(matrix[good] * scale)
-                for low in range(0, len(ids), rows):
-                    part = ids[low : low + rows], matrix[low : low + rows]
-                    if sum(len(x) for x, _ in waiting.get(dim, [])) + len(part[0]) > rows:
-                        yield flush(dim)
-                    waiting.setdefault(dim, []).append(part)
-        for dim in [*waiting]:
-            yield flush(dim)
+                for one in np.unique(block).tolist():
+                    rest, key = np.flatnonzero(block == one), (one, dim)
+                    while len(rest):
+                        taken, rest = np.split(rest, [rows - held.get(key, 0)])
+                        waiting.setdefault(key, []).append((ids[taken], matrix[taken]))
+                        held[key] = held.get(key, 0) + len(taken)
+                        if held[key] == rows:
+                            yield flush(key)
+        for key in [*waiting]:
+            yield flush(key)
 
-    return vectors.mapInArrow(run, "tile long, dim int, ids binary, small boolean, data binary")
+    return vectors.mapInArrow(run, "tile long, block long, dim int, ids binary, small boolean, data binary")
 
 
 def unpack(ids: bytes, data: bytes, small: bool, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,17 +97,17 @@ def best_of_tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, da
         value = np.take_along_axis(value, pick, 1)
         query, column = np.nonzero(value != np.iinfo(np.int64).min)
         return query, ids[pick[query, column]], value[query, column] // len(ids)
-    # Large components: exact whole numbers of any size, a query at a time.
+    # Large components: exact whole numbers of any size, a query at a time; they compare as the longs that return.
     whole = data.astype(object)
     to_int = np.vectorize(int, otypes=[object])
     whole, out = to_int(whole) if whole.size else whole, ([], [], [])
     for q, (own, vector) in enumerate(zip(query_ids, queries)):
         score = whole @ to_int(vector) if whole.size else np.zeros(len(ids), object)
-        ranked = sorted((-s, i) for s, i in zip(score, ids.tolist()) if i != own)[:k]
+        ranked = sorted((-min(max(s, _LONG[0]), _LONG[1]), i) for s, i in zip(score, ids.tolist()) if i != own)[:k]
         for s, i in ranked:
             out[0].append(q)
             out[1].append(i)
-            out[2].append(min(max(-s, _LONG[0]), _LONG[1]))
+            out[2].append(-s)
     return np.array(out[0], np.int64), np.array(out[1], np.int64), np.array(out[2], np.int64)
 
 
@@ -114,17 +122,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: float = SCALE
 
     Vectors of another length are no candidates. Rows with a query's own vec_id are none either. Where
     vec_ids repeat, each row is a candidate of its own, and of a repeated query's rows the best k count.
-    Scores beyond a long's range return as its nearest end; they are compared in full within a tile.
+    A score beyond a long's range counts as that range's nearest end, so such scores tie.
     """
     spark = vectors.sparkSession
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("asks"))
     chosen = vectors.where("asks").select("vec_id", "embedding")
     blocks = max(1, -(-chosen.count() // QUERY_TILE))
     lanes = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * 3 // blocks)
-    # The number of a query tile's block is that of its partition.
-    asking = stored(tiles(chosen.repartition(blocks, F.xxhash64("vec_id")), QUERY_TILE, scale).withColumn("block", F.shiftright("tile", 32)), "topk-queries", "snappy")
+    # A query's block follows from its id; dealing the queries out by block only makes for fuller tiles.
+    chosen = chosen.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    asking = stored(tiles(chosen.repartition(blocks, "block"), QUERY_TILE, scale), "topk-queries", "snappy")
     asking = asking.select("block", "dim", F.col("tile").alias("q_tile"), F.col("ids").alias("q_ids"), F.col("small").alias("q_small"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
-    shards = tiles(vectors.select("vec_id", "embedding"), SHARD_TILE, scale)
+    shards = tiles(vectors.select("vec_id", "embedding", F.lit(0).cast("long").alias("block")), SHARD_TILE, scale).drop("block")
     shards = shards.withColumn("lane", F.pmod(F.xxhash64("tile"), F.lit(lanes)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     meetings = asking.join(shards, ["block", "lane", "dim"])
 
@@ -145,7 +154,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: float = SCALE
                     query_ids, queries = unpack(row["q_ids"], row["q_data"], row["q_small"], row["dim"])
                 found = best_of_tile(query_ids, queries, *unpack(row["ids"], row["data"], row["small"], row["dim"]), k)
                 query, ids, score = (np.concatenate(x) for x in zip(lists, found))
-                order = np.lexsort((ids, -score.astype(np.float64) if not len(score) or np.abs(score).max() > 2**52 else -score, query))
+                order = np.lexsort((ids, ~score, query))  # the complement descends as the score ascends, without overflow
                 query, ids, score = query[order], ids[order], score[order]
                 head = np.flatnonzero(np.append(True, query[1:] != query[:-1])[: len(query)])
                 place = np.arange(len(query)) - np.repeat(head, np.diff(np.append(head, len(query))))
