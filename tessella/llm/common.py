@@ -143,26 +143,27 @@ def clean_documents(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in columns])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, chars: int) -> list[tuple[int, str, object]]:
-    """(doc_id, text, label) of at most `rows` labelled documents and about `chars` characters, on the driver, by doc_id.
+def fresh_name(name: str, taken: Iterable[str]) -> str:
+    """name, or name_1, name_2, ...: the first that none of the taken ones equals, letters of either case alike."""
+    used, out, n = {x.lower() for x in taken}, name, 0
+    while out.lower() in used:
+        n += 1
+        out = f"{name}_{n}"
+    return out
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, tasks: int) -> DataFrame:
+    """(doc_id, text, label) of at most `rows` labelled documents, in `tasks` partitions.
 
     labels (doc_id, label) first meet the documents: null ids, labels and texts, and labels without a document, are
-    not taken. Of what is left the first `rows` by a hash of doc_id are, up to the one whose text reaches `chars`, so
-    that the sample doesn't depend on how the tables lie in files. It is a few numbers a row before the texts are
-    fetched and at most `rows` rows, so it may be broadcast.
+    not taken; rows that agree in doc_id, text and label count once. Of what is left the first `rows` by a hash of
+    doc_id are taken, so the sample doesn't depend on how the tables lie in files. They are chosen by a few numbers a
+    row; the keys of the chosen ones, at most `rows`, may be broadcast to fetch the texts.
     """
     known = labels.select(F.col("doc_id").alias("label_id"), "label").where("label_id is not null and label is not null")
     texts = clean_documents(docs, "doc_id", "text").where("doc_id is not null and text is not null").withColumn("digest", F.xxhash64("text"))
-    sizes = texts.select("doc_id", "digest", F.length("text").alias("size"))
-    met = sizes.hint("merge").join(known, F.col("doc_id") == F.col("label_id")).select("doc_id", "digest", "label", "size")  # one plan at all sizes
-    first = met.orderBy(F.xxhash64("doc_id"), "doc_id", "digest", "label").limit(rows)
-    chosen, size = [], 0
-    for r in first.toLocalIterator():
-        chosen.append((r["doc_id"], r["digest"], r["label"]))
-        size += r["size"]
-        if size > chars:
-            break
-    keys = docs.sparkSession.createDataFrame(sorted({x[:2] for x in chosen}), "key_id long, key long")
+    met = texts.select("doc_id", "digest").hint("merge").join(known, F.col("doc_id") == F.col("label_id")).select("doc_id", "digest", "label").distinct()  # one plan at all sizes
+    chosen = met.orderBy(F.xxhash64("doc_id"), "doc_id", "digest", "label").limit(rows).collect()
+    keys = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], "key_id long, key long, label int")
     fetched = texts.join(F.broadcast(keys), (F.col("doc_id") == F.col("key_id")) & (F.col("digest") == F.col("key")))
-    text = {(r[0], r[1]): r[2] for r in fetched.groupBy("doc_id", "digest").agg(F.min("text")).toLocalIterator()}
-    return sorted((i, text[i, digest], label) for i, digest, label in chosen)
+    return fetched.select("doc_id", "digest", "text", "label").repartition(tasks, "doc_id").dropDuplicates(["doc_id", "digest", "label"]).select("doc_id", "text", "label")

@@ -2,8 +2,10 @@
 
 A feature is the presence of an n-gram of characters (lower-cased, hashed into `BUCKETS`) in a text.
 Its value is the log ratio of how often toxic and other texts hold it; a logistic regression learns the
-weights of the features whose frequencies differ significantly. Training takes at most `SAMPLE_ROWS`
-labelled texts, first by a hash of doc_id, and about `SAMPLE_CHARS` characters of them in that order, however the files lie; scoring reads all of every text.
+weights of the features whose frequencies differ significantly. Training takes the first `SAMPLE_ROWS`
+labelled texts by a hash of doc_id (repeated rows count once), however the files lie, and all of each text;
+scoring reads all of every text. Tasks count the n-grams and mark each text's features: the driver sees
+the `FEATURES` chosen ones and one bit a feature for each text of the sample, never a text.
 """
 
 from __future__ import annotations
@@ -18,15 +20,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import clean_documents, labelled_sample, pieces, table, text_bytes
+from tessella.llm.common import clean_documents, fresh_name, labelled_sample, pieces, stored, table, text_bytes
+from tessella.llm.exchange import squeeze, unsqueeze
 
 SAMPLE_ROWS = 10_000
-SAMPLE_CHARS = 48_000_000
 ORDERS = (3, 4, 5, 6)
 BUCKET_BITS = 20
 FEATURES = 2048
 SIGNIFICANCE = 20.0  # least log-likelihood ratio of a feature
 RIDGE = 3e-4
+FIT_TASKS = 24
+RANGES = 64  # of buckets, that tasks add up
+BLOCK = 1024  # rows of the sample that are unpacked at a time
 PIECE_BYTES = 2 << 20
 
 
@@ -71,48 +76,54 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def train(texts: list[str], labels: np.ndarray) -> Model:
-    """Without both labels: every text has the (smoothed) share of label 1."""
+def held_by(column: pa.Array, labels: np.ndarray) -> np.ndarray:
+    """Of each label, 0 or 1, and bucket: the texts that hold it."""
     buckets = 1 << BUCKET_BITS
-    labels = np.asarray(labels, np.int64)
-    slot = np.full(buckets, -1, np.int32)
-    n1, n0 = int(labels.sum()), int((1 - labels).sum())
-    prior = (n1 + 0.5) / (n1 + n0 + 2)
-    if not n1 or not n0:
-        return Model(slot, np.empty(0), float(np.log(prior / (1 - prior))))
-    held = np.zeros((2, buckets), np.int64)  # texts of each label that hold the bucket
-    parts = [(i, pa.array(texts[i : i + 64], pa.string())) for i in range(0, len(texts), 64)]
-    for i, part in parts:
-        pairs = [text[inside].astype(np.int64) * buckets + bucket[inside] for text, bucket, inside in ngram_buckets(part)]
-        pairs = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
-        label = labels[i + pairs // buckets]
-        for k in (0, 1):
-            held[k] += np.bincount(pairs[label == k] % buckets, minlength=buckets)
-    a, b = held[1].astype(float), held[0].astype(float)
-    ratio = np.log((a + 1) / (n1 + 2)) - np.log((b + 1) / (n0 + 2))
-    expected = (a + b) * n1 / (n1 + n0)
-    entropy = lambda x, e: np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(e, 1e-9)), 0)
-    differs = 2 * (entropy(a, expected) + entropy(b, a + b - expected) + entropy(n1 - a, n1 - expected) + entropy(n0 - b, n0 - (a + b - expected)))
-    order = np.argsort(-differs, kind="stable")[:FEATURES]
-    chosen = np.sort(order[differs[order] >= SIGNIFICANCE])
-    slot[chosen] = np.arange(len(chosen))
-    model = Model(slot, ratio[chosen], 0.0)
-    pairs = [(i + t, f) for i, part in parts for t, f in [model.features(part)]]
-    row, feature = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
-    value = model.weight[feature]
-    # Logistic regression by Newton's method; each step by conjugate gradients. The last column is the bias.
-    n, size = len(texts), len(chosen)
-    times = lambda v: np.bincount(row, value * v[feature], n) + v[size]
-    back = lambda e: np.append(np.bincount(feature, value * e[row], size), e.sum())
+    out = np.zeros(2 * buckets, np.int64)
+    pairs = [np.unique(text[inside].astype(np.int64) * buckets + bucket[inside]) for text, bucket, inside in ngram_buckets(column)]
+    if pairs:
+        text, bucket = np.divmod(np.unique(np.concatenate(pairs)), buckets)
+        out += np.bincount(labels[text] * buckets + bucket, minlength=2 * buckets)
+    return out.reshape(2, buckets)
+
+
+def log_ratio(a: Column, b: Column, n1: int, n0: int) -> Column:
+    """Naive Bayes log-count ratio of a feature that a of n1 toxic and b of n0 other texts hold."""
+    return F.log((a + 1) / (n1 + 2)) - F.log((b + 1) / (n0 + 2))
+
+
+def likelihood_ratio(a: Column, b: Column, n1: int, n0: int) -> Column:
+    """Twice the log-likelihood ratio of the two frequencies being different."""
+    expected = (a + b) * F.lit(n1 / (n1 + n0))
+    part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(F.lit(0.0))
+    return 2 * (part(a, expected) + part(b, a + b - expected) + part(n1 - a, n1 - expected) + part(n0 - b, n0 - (a + b - expected)))
+
+
+def regression(bits: np.ndarray, labels: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and bias of a ridge logistic regression. bits: of each text, a packed row of which features it holds.
+
+    By Newton's method, each step by conjugate gradients; the last coordinate is the bias.
+    """
+    n, size = len(labels), len(ratio)
+    prior = (labels.sum() + 0.5) / (n + 2)
+    blocks = [slice(i, i + BLOCK) for i in range(0, n, BLOCK)]
+    rows = lambda s: np.unpackbits(bits[s], axis=1, count=size).astype(np.float64)
+
+    def times(v: np.ndarray) -> np.ndarray:
+        return np.concatenate([rows(s) @ (ratio * v[:size]) for s in blocks]) + v[size]
+
+    def back(e: np.ndarray) -> np.ndarray:
+        return np.append(ratio * sum(e[s] @ rows(s) for s in blocks), e.sum())
+
     ridge = np.append(np.full(size, RIDGE * n), 1e-9)
     theta = np.append(np.zeros(size), np.log(prior / (1 - prior)))
 
-    def cost(t: np.ndarray) -> float:
-        z = times(t)
+    def cost(t: np.ndarray, z: np.ndarray) -> float:
         return float(np.logaddexp(0, z).sum() - z @ labels + 0.5 * (ridge * t * t).sum())
 
+    z = times(theta)
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(times(theta), -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         gradient, curve = back(p - labels) + ridge * theta, p * (1 - p)
         if np.abs(gradient).max() < 1e-6 * n:
             break
@@ -126,40 +137,90 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
             if norm < 1e-6 * (gradient @ gradient):
                 break
             along = left + norm / before * along
-        now, scale = cost(theta), 1.0
-        while cost(theta + scale * step) > now and scale > 1e-4:
+        way, now, scale = times(step), cost(theta, z), 1.0
+        while cost(theta + scale * step, z + scale * way) > now and scale > 1e-4:
             scale /= 2
-        theta = theta + scale * step
-    weight, bias = theta[:size], theta[size]
-    return Model(slot, model.weight * weight, float(bias))
+        theta, z = theta + scale * step, z + scale * way
+    return theta[:size], float(theta[size])
+
+
+def train(sample: DataFrame) -> Model:
+    """From rows (text, label 0 or 1), all of them. Without both labels every text has the (smoothed) share of label 1."""
+    buckets = 1 << BUCKET_BITS
+    wide = buckets // RANGES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((2, buckets), np.int64)
+        for part in pieces(batches, "text", PIECE_BYTES >> 3):  # all their n-grams are sorted
+            held += held_by(part.column(0), part.column(1).to_numpy().astype(np.int64))
+        for r in range(RANGES):
+            body = np.ascontiguousarray(held[:, r * wide : (r + 1) * wide])
+            if body.any():
+                yield pa.record_batch([pa.array([r], pa.int32()), pa.array([squeeze(body.ravel())], pa.binary())], names=["range", "body"])
+
+    def add(parts: pa.Table) -> pa.Table:
+        total = sum(unsqueeze(b).astype(np.int64) for b in parts.column("body").to_pylist()).reshape(2, wide)
+        at = np.flatnonzero(total.any(0))
+        return pa.table({"bucket": pa.array(at + parts.column("range")[0].as_py() * wide, pa.int32()), "a": pa.array(total[1, at]), "b": pa.array(total[0, at])})
+
+    sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    slot = np.full(buckets, -1, np.int32)
+    if not n1 or not n0:
+        prior = (n1 + 0.5) / (n1 + n0 + 2)
+        return Model(slot, np.empty(0), float(np.log(prior / (1 - prior))))
+    counts = sample.select("text", "label").mapInArrow(count, "range int, body binary").groupBy("range").applyInArrow(add, "bucket int, a long, b long")
+    differs = counts.withColumn("differs", likelihood_ratio(F.col("a"), F.col("b"), n1, n0)).where(F.col("differs") >= SIGNIFICANCE)
+    best = differs.orderBy(F.desc("differs"), "bucket").limit(FEATURES).select("bucket", log_ratio(F.col("a"), F.col("b"), n1, n0).alias("ratio"))
+    chosen = sorted((r["bucket"], r["ratio"]) for r in best.collect())
+    slot[[b for b, _ in chosen]] = np.arange(len(chosen))
+    model = Model(slot, np.array([x for _, x in chosen]), 0.0)
+    held = sample.sparkSession.sparkContext.broadcast(model)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, "text", PIECE_BYTES):
+            bits = np.zeros((part.num_rows, len(held.value.weight)), np.uint8)
+            bits[held.value.features(part.column(0))] = 1
+            packed = np.packbits(bits, axis=1)
+            yield pa.record_batch([pa.array([x.tobytes() for x in packed], pa.binary()), part.column(1)], names=["bits", "label"])
+
+    # In an order that no partitioning changes, so that sums come out alike.
+    marked = sorted((r["bits"], r["label"]) for r in sample.select("text", "label").mapInArrow(mark, "bits binary, label int").collect())
+    held.destroy()
+    bits = np.frombuffer(b"".join(x for x, _ in marked), np.uint8).reshape(len(marked), -1)
+    weight, bias = regression(bits, np.array([y for _, y in marked], np.int64), model.weight)
+    return Model(slot, model.weight * weight, bias)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """From rows of labels (doc_id, toxic) whose label is 0 or 1, joined to docs; others are left out."""
-    found = labelled_sample(docs, labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("label")), rows, SAMPLE_CHARS)
-    return train([t for _, t, _ in found], np.array([y for _, _, y in found], np.int64))
+    judged = labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("label"))
+    return train(stored(labelled_sample(docs, judged, rows, FIT_TASKS), "toxic-sample"))
 
 
 def scored(docs: DataFrame, model: Model, keep: float | None = None) -> DataFrame:
     """The rows of docs and a score (0 to 1) each; keep: only those below it, without the score.
 
-    A null or empty text has no n-grams and gets the model's bias. Repeated rows get the same score.
+    A null or empty text has no n-grams and gets the model's bias. Repeated rows get the same score. Where docs has
+    a column `score` of its own, that one keeps its name and the new one is called score_1 (or _2 and so on).
     """
+    name = fresh_name("score", docs.columns)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text", PIECE_BYTES):
             score = held.value.scores(part.column(part.schema.get_field_index("text")))
             if keep is None:
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, name])
             else:
                 yield part.filter(pa.array(score < keep))
 
-    return docs.mapInArrow(run, docs.schema if keep is not None else T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, docs.schema if keep is not None else T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def held_out(column: str = "doc_id") -> Column:
-    return F.crc32(F.col(column).cast("long").cast("string")) % 5 == 0
+    """Whether the crc32 of the id as text is a multiple of 5; a null id is of no fold, so false."""
+    return F.coalesce(F.crc32(F.col(column).cast("long").cast("string")) % 5 == 0, F.lit(False))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
