@@ -17,10 +17,12 @@ _OWN: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder the cluster names in spark.checkpoint.dir; where that is unset, a temporary one if all runs on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="tessella-")
@@ -44,7 +46,8 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     Cuts the lineage: a lost executor costs a reread, never a recomputation of what came before.
     """
     path = f"{scratch_path(df.sparkSession, name)}/table"
-    df.write.option("compression", codec).parquet(path)
+    # Without the file that marks success: the path is known only after the commit.
+    df.write.option("compression", codec).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -60,12 +60,17 @@ def parted(body: bytes) -> list[bytes]:
     return out
 
 
-def shard_cuts(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's keys begin among sorted keys, and their number at the end."""
-    edges = np.array([(s << 64) // shards for s in range(1, shards)], np.uint64)
+def shard_cuts(keys: np.ndarray, shards: int, bits: int = 64) -> np.ndarray:
+    """Where each shard's keys begin among sorted keys of so many bits, and their number at the end."""
+    edges = np.array([(s << bits) // shards for s in range(1, shards)], np.uint64)
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
+def key_bits(entries: int, spare: int = 24) -> int:
+    """Bits of hash that so many keys need, so that one in 2**spare of them meets another one's hash; at most 64."""
+    return min(64, int(entries).bit_length() + spare)
+
+
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A uint64 hash of two."""
     x = (a ^ np.uint64(0x2545F4914F6CDD1D)) * np.uint64(0x9E3779B97F4A7C15) + b
@@ -76,15 +81,15 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def ask(chunks: DataFrame, question: Callable[..., tuple[np.ndarray, list[np.ndarray]]], shards: int) -> DataFrame:
-    """Messages (shard, chunk, body). question(row as dict): sorted distinct keys, and columns of integers beside them."""
+def ask(chunks: DataFrame, question: Callable[..., tuple[np.ndarray, list[np.ndarray]]], shards: int, bits: int = 64) -> DataFrame:
+    """Messages (shard, chunk, body). question(row as dict): sorted distinct keys of so many bits, and columns of integers beside them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
                 keys, columns = question(row)
-                cuts = shard_cuts(keys, shards)
+                cuts = shard_cuts(keys, shards, bits)
                 asked = [(s, a, b) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b]
                 bodies = [joined(squeeze_sorted(keys[a:b]), *(squeeze(c[a:b]) for c in columns)) for _, a, b in asked]
                 yield pa.record_batch([pa.array([s for s, _, _ in asked], pa.int32()), pa.array([row["chunk"]] * len(asked), pa.int64()), pa.array(bodies, pa.binary())], names=["shard", "chunk", "body"])
@@ -98,11 +103,13 @@ def answer(messages: DataFrame, reply: Callable[[np.ndarray, list[np.ndarray], n
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("chunk", kind="stable")
-        parts = [parted(b) for b in frame["body"]]
+        parts = [parted(b) for b in frame.pop("body")]
         keys = [unsqueeze_sorted(p[0]) for p in parts]
         columns = [np.concatenate([unsqueeze(p[c]) for p in parts]) for c in range(1, len(parts[0]))]
+        del parts
         sizes = np.array([len(k) for k in keys])
-        back, stats = reply(np.concatenate(keys), columns, np.cumsum(sizes) - sizes)
+        keys = np.concatenate(keys)
+        back, stats = reply(keys, columns, np.cumsum(sizes) - sizes)
         ends = np.cumsum(sizes)
         bodies = [joined(*(squeeze(c[a:b]) for c in back)) for a, b in zip(ends - sizes, ends)]
         shard = int(frame["shard"].iloc[0])

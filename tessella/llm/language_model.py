@@ -2,7 +2,8 @@
 
 Texts become stored chunks of word codes. For each order, chunks ask shards for the training counts of
 their distinct n-grams (see exchange.py), so no n-gram row is ever joined and a frequent n-gram costs one
-entry a chunk. An n-gram's probability mixes the maximum-likelihood estimates of all orders and a uniform
+entry a chunk. Words are known by 64-bit hashes; of longer n-grams, hashes travel with as many bits as the corpus
+needs for one in 16 million tokens to meet another's (see key_bits). An n-gram's probability mixes the maximum-likelihood estimates of all orders and a uniform
 one, with weights that depend on how frequent the context is. The weights are learned by expectation-
 maximisation on deleted counts: each training token is held out in turn, that is, its own occurrence is
 taken off the counts that predict it. The expectations need only, for each bucket of contexts, how often
@@ -21,10 +22,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import NOT_WHITE, binary_array, clean_documents, pieces, stored, table, word_cuts
-from tessella.llm.exchange import answer, answered, ask, free_messages, group_sums, joined, mix, parted, shard_number, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted, with_answers
+from tessella.llm.exchange import answer, answered, ask, free_messages, group_sums, joined, key_bits, mix, parted, shard_number, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted, with_answers
 
 ORDER = 3
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Hashes of the marks before a text's first word and after its last; no word has them but by chance.
 BEGIN, END = np.uint64(0x5BE0CD19137E2179), np.uint64(0x1F83D9ABFB41BD6B)
 BINS_PER_OCTAVE = 2  # rounding of estimates in the histogram
@@ -55,8 +56,8 @@ class Chunk:
         self.tokens, self.codes = unsqueeze(tokens).astype(np.int64), unsqueeze(codes).astype(np.int64)
         self.keys, self.learned = unsqueeze_sorted(keys), unsqueeze(learned)
 
-    def grams(self, order: int) -> np.ndarray:
-        """The hash of the n-gram that ends at each token; it begins with BEGIN where it would pass the text's start."""
+    def grams(self, order: int, bits: int = 64) -> np.ndarray:
+        """The hash, of so many bits, of the n-gram that ends at each token; it begins with BEGIN where it would pass the text's start."""
         words = self.keys[self.codes]
         first = np.cumsum(self.tokens) - self.tokens
         grams = words
@@ -65,17 +66,17 @@ class Chunk:
             context[1:] = grams[:-1]
             context[first] = BEGIN
             grams = mix(context, words)
-        return grams
+        return grams >> np.uint64(64 - bits)
 
-    def counted(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def counted(self, order: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct n-grams, their training occurrences here, and each token's n-gram number."""
         if order == 1:
             return self.keys, self.learned, self.codes
-        return group_sums(self.grams(order), np.repeat(self.train, self.tokens).astype(np.uint64))
+        return group_sums(self.grams(order, bits), np.repeat(self.train, self.tokens).astype(np.uint64))
 
-    def counts(self, replies: list[list[bytes] | None]) -> list[np.ndarray]:
+    def counts(self, replies: list[list[bytes] | None], bits: int = 64) -> list[np.ndarray]:
         """Of each token, the training count of its n-gram, from order 1 on."""
-        return [answered(r)[self.counted(n + 1)[2]].astype(np.int64) for n, r in enumerate(replies)]
+        return [answered(r).astype(np.int64)[self.counted(n + 1, bits)[2]] for n, r in enumerate(replies)]
 
     def contexts(self, counts: list[np.ndarray], texts: int, tokens: int) -> list[np.ndarray]:
         """Of each token, how often training has its context, from order 1 on; `texts`: training texts."""
@@ -148,7 +149,7 @@ def scores(docs: DataFrame, train: Column, order: int = ORDER) -> DataFrame:
 
     chunks = stored(docs.mapInArrow(cut, "chunk long, n_keys long, n_tokens long, n_learned long, n_texts long, payload binary"), "lm-chunks", "uncompressed")
     n_keys, n_tokens, learned, texts = (x or 0 for x in chunks.agg(F.sum("n_keys"), F.sum("n_tokens"), F.sum("n_learned"), F.sum("n_texts")).first())
-    chunks = chunks.select("chunk", "payload")
+    chunks, bits = chunks.select("chunk", "payload"), key_bits(n_tokens)
 
     def reply(keys: np.ndarray, columns: list[np.ndarray], _: np.ndarray) -> tuple[list[np.ndarray], dict[str, int]]:
         _, sums, number = group_sums(keys, columns[0])
@@ -158,10 +159,12 @@ def scores(docs: DataFrame, train: Column, order: int = ORDER) -> DataFrame:
     for n in range(1, order + 1):
 
         def question(row: dict, n: int = n) -> tuple[np.ndarray, list[np.ndarray]]:
-            keys, here, _ = Chunk(row["payload"]).counted(n)
+            keys, here, _ = Chunk(row["payload"]).counted(n, bits)
             return keys, [here]
 
-        replies.append(stored(answer(ask(chunks, question, shard_number(n_keys if n == 1 else n_tokens)), reply), f"lm-counts{n}", "snappy"))
+        asked = ask(chunks, question, shard_number(n_keys), 64) if n == 1 else ask(chunks, question, shard_number(n_tokens), bits)
+        replies.append(stored(answer(asked, reply), f"lm-counts{n}", "snappy"))
+        del asked
         free_messages(docs.sparkSession)  # so that the disk holds one order's messages at a time
         if n == 1:
             distinct = replies[0].where("chunk is null").agg(F.sum(F.col("stats")[0])).first()[0] or 0
@@ -173,11 +176,12 @@ def scores(docs: DataFrame, train: Column, order: int = ORDER) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
-                chunk = Chunk(row["payload"])
-                counts = chunk.counts([row[name] for name in names])
+                chunk = Chunk(row.pop("payload"))
+                counts = chunk.counts([row.pop(name) for name in names], bits)
                 yield chunk, counts, chunk.contexts(counts, texts, learned)
 
     def deleted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, times = np.empty(0, np.int64), np.empty(0, np.int64)  # of the whole task
         for chunk, counts, contexts in rows(batches):
             held = np.repeat(chunk.train, chunk.tokens)
             contexts = [x[held] - 1 for x in contexts]
@@ -186,8 +190,9 @@ def scores(docs: DataFrame, train: Column, order: int = ORDER) -> DataFrame:
             code = bucket(contexts)
             for x in bins:
                 code = code * 1024 + np.minimum(x + 1, 1023)
-            values, times = np.unique(code, return_counts=True)
-            yield pa.record_batch([pa.array(values), pa.array(times, pa.int64())], names=["code", "times"])
+            some, often = np.unique(code, return_counts=True)
+            values, times, _ = group_sums(np.append(values, some), np.append(times, often))
+        yield pa.record_batch([pa.array(values), pa.array(times)], names=["code", "times"])
 
     def uncode(code: int) -> tuple[int, list[int]]:
         bins = []
@@ -226,10 +231,10 @@ def scores(docs: DataFrame, train: Column, order: int = ORDER) -> DataFrame:
 
 
 def fold(column: str = "doc_id", folds: int = 5) -> Column:
-    """crc32 of the id as text, modulo `folds`."""
+    """crc32 of the id as text, modulo `folds`; null for a null id, which is of no fold and never trained on."""
     return F.crc32(F.col(column).cast("long").cast("string")) % folds
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = scores(table(spark, sf_dir, "documents"), fold() != 1)
-    return scored.select("doc_id", (fold() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

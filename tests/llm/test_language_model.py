@@ -96,6 +96,17 @@ def test_matches_slow_model(spark, monkeypatch, order):
         assert x[4] == pytest.approx(y[4]) and x[5] == pytest.approx(y[5], rel=0.01)
 
 
+def test_key_bits():
+    assert [lm.key_bits(n) for n in (0, 1, 1 << 20, (1 << 30) + 5, 1 << 45)] == [24, 25, 45, 55, 64]
+
+
+def test_null_ids_are_of_no_fold(spark):
+    known = next(i for i in range(9) if not held(i))
+    rows = spark.createDataFrame([(None, "a b"), (known, "a c")], "doc_id long, text string")
+    got = lm.scores(rows, lm.fold() != 1).select("doc_id", "train", "train_tokens").collect()
+    assert {(r["doc_id"], r["train"]) for r in got} == {(None, False), (known, True)} and got[0]["train_tokens"] == 3
+
+
 def test_query_has_contexts_of_two_words(spark):
     sf = "/root/testdata/sf0.001"
     got = {r["doc_id"]: r["score"] for r in lm.op9_lm_scoring(spark, sf).collect()}
