@@ -48,7 +48,35 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     path = f"{scratch_path(df.sparkSession, name)}/table"
     # Without the file that marks success: the path is known only after the commit.
     df.write.option("compression", codec).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for df in tables:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Bytes of a source, or of a table to be stored, that one task takes at least.
+PACK_BYTES = 32 << 20
+
+
+def in_tasks(df: DataFrame, size: int, each: int = PACK_BYTES) -> DataFrame:
+    """df in as many partitions as `size` (bytes, rows) needs at `each` a partition, but as many as there are cores; never in more than it has."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // each)))
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """df with small splits of its sources packed together, so that many small files aren't as many tasks and stored files.
+
+    Goes by the sizes that the optimizer has of the sources; where it has none, nothing changes.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length()))
+    return df if size >= 1 << 46 else in_tasks(df, size)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -156,7 +184,7 @@ def fresh_name(name: str, taken: Iterable[str]) -> str:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, tasks: int) -> DataFrame:
-    """(doc_id, text, label) of at most `rows` labelled documents, in `tasks` partitions.
+    """(doc_id, text, label) of at most `rows` labelled documents, in at most `tasks` partitions.
 
     labels (doc_id, label) first meet the documents: null ids, labels and texts, and labels without a document, are
     not taken; rows that agree in doc_id, text and label count once. Of what is left the first `rows` by a hash of
@@ -169,4 +197,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, tasks: int) -
     chosen = met.orderBy(F.xxhash64("doc_id"), "doc_id", "digest", "label").limit(rows).collect()
     keys = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], "key_id long, key long, label int")
     fetched = texts.join(F.broadcast(keys), (F.col("doc_id") == F.col("key_id")) & (F.col("digest") == F.col("key")))
-    return fetched.select("doc_id", "digest", "text", "label").repartition(tasks, "doc_id").dropDuplicates(["doc_id", "digest", "label"]).select("doc_id", "text", "label")
+    return fetched.dropDuplicates(["doc_id", "digest", "label"]).select("doc_id", "text", "label").coalesce(tasks)

@@ -10,6 +10,7 @@ rows that Spark shuffles, so a lost executor costs their recomputation from the
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -121,9 +122,14 @@ def answer(messages: DataFrame, reply: Callable[[np.ndarray, list[np.ndarray], n
 
 
 def free_messages(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to; its cleaner waits for the driver's JVM to collect garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark delete the shuffle files of plans that nothing refers to; its cleaner waits for the driver's JVM to collect garbage.
+
+    What a listener still holds of the last job is free only a moment later, so the garbage is collected again.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.25)
 
 
 def with_answers(chunks: DataFrame, *answers: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import NOT_WHITE, binary_array, clean_documents, pieces, stored, table, word_cuts
+from tessella.llm.common import NOT_WHITE, binary_array, clean_documents, discard, in_tasks, packed, pieces, stored, table, word_cuts
 from tessella.llm.exchange import answer, answered, ask, free_messages, group_sums, joined, key_bits, mix, parted, shard_number, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted, with_answers
 
 ORDER = 3
@@ -78,11 +78,26 @@ class Chunk:
         """Of each token, the training count of its n-gram, from order 1 on."""
         return [answered(r).astype(np.int64)[self.counted(n + 1, bits)[2]] for n, r in enumerate(replies)]
 
-    def contexts(self, counts: list[np.ndarray], texts: int, tokens: int) -> list[np.ndarray]:
+
+class Counted:
+    """A chunk's texts without their words: of each token, the training counts of its n-grams."""
+
+    def __init__(self, body: bytes):
+        ids, null, train, tokens, *counts = parted(body)
+        self.ids = pa.array(np.frombuffer(ids, np.int64), mask=np.frombuffer(null, bool))
+        self.train = np.frombuffer(train, bool)
+        self.tokens = unsqueeze(tokens).astype(np.int64)
+        self.counts = [unsqueeze(x).astype(np.int64) for x in counts]  # from order 1 on
+
+    @staticmethod
+    def body(chunk: bytes, counts: list[np.ndarray]) -> bytes:
+        return joined(*parted(chunk)[:4], *(squeeze(x) for x in counts))
+
+    def contexts(self, texts: int, tokens: int) -> list[np.ndarray]:
         """Of each token, how often training has its context, from order 1 on; `texts`: training texts."""
         first = np.cumsum(self.tokens) - self.tokens
-        out = [np.full(len(self.codes), tokens)]
-        for shorter in counts[:-1]:
+        out = [np.full(len(self.counts[0]), tokens)]
+        for shorter in self.counts[:-1]:
             context = np.empty_like(shorter)
             context[1:] = shorter[:-1]
             context[first] = texts
@@ -147,9 +162,9 @@ def scores(docs: DataFrame, train: Column, order: int = ORDER) -> DataFrame:
             yield pa.record_batch([pa.array([x], pa.int64()) for x in (chunk, keys, tokens, learned, int(learns.sum()))] + [pa.array([body], pa.binary())], names=["chunk", "n_keys", "n_tokens", "n_learned", "n_texts", "payload"])
             chunk += 1
 
-    chunks = stored(docs.mapInArrow(cut, "chunk long, n_keys long, n_tokens long, n_learned long, n_texts long, payload binary"), "lm-chunks", "uncompressed")
-    n_keys, n_tokens, learned, texts = (x or 0 for x in chunks.agg(F.sum("n_keys"), F.sum("n_tokens"), F.sum("n_learned"), F.sum("n_texts")).first())
-    chunks, bits = chunks.select("chunk", "payload"), key_bits(n_tokens)
+    chunks = stored(packed(docs).mapInArrow(cut, "chunk long, n_keys long, n_tokens long, n_learned long, n_texts long, payload binary"), "lm-chunks", "uncompressed")
+    n_keys, n_tokens, learned, texts, n_chunks = (x or 0 for x in chunks.agg(F.sum("n_keys"), F.sum("n_tokens"), F.sum("n_learned"), F.sum("n_texts"), F.count("*")).first())
+    bits = key_bits(n_tokens)
 
     def reply(keys: np.ndarray, columns: list[np.ndarray], _: np.ndarray) -> tuple[list[np.ndarray], dict[str, int]]:
         _, sums, number = group_sums(keys, columns[0])
@@ -169,16 +184,26 @@ def scores(docs: DataFrame, train: Column, order: int = ORDER) -> DataFrame:
         if n == 1:
             distinct = replies[0].where("chunk is null").agg(F.sum(F.col("stats")[0])).first()[0] or 0
     uniform = 1 / (distinct + 1)
-    full = with_answers(chunks, *replies)
     names = [f"reply{n}" for n in range(order)]
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Chunk, list[np.ndarray], list[np.ndarray]]]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
-                chunk = Chunk(row.pop("payload"))
-                counts = chunk.counts([row.pop(name) for name in names], bits)
-                yield chunk, counts, chunk.contexts(counts, texts, learned)
+                body = row.pop("payload")
+                yield pa.record_batch([pa.array([Counted.body(body, Chunk(body).counts([row.pop(name) for name in names], bits))], pa.binary())], names=["payload"])
+
+    full = in_tasks(with_answers(chunks, *replies).select("payload", *names), n_chunks * CHUNK_BYTES)
+    counted = stored(full.mapInArrow(count, "payload binary"), "lm-counted", "uncompressed")
+    discard(chunks, *replies)
+    del replies, full
+    free_messages(docs.sparkSession)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Counted, list[np.ndarray], list[np.ndarray]]]:
+        for batch in batches:
+            for body in batch.column(0):
+                chunk = Counted(body.as_py())
+                yield chunk, chunk.counts, chunk.contexts(texts, learned)
 
     def deleted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, times = np.empty(0, np.int64), np.empty(0, np.int64)  # of the whole task
@@ -186,10 +211,10 @@ def scores(docs: DataFrame, train: Column, order: int = ORDER) -> DataFrame:
             held = np.repeat(chunk.train, chunk.tokens)
             contexts = [x[held] - 1 for x in contexts]
             p = estimates([x[held] - 1 for x in counts], contexts)
-            bins = [np.where(x > 0, np.round(-BINS_PER_OCTAVE * np.log2(np.where(x > 0, x, 1))), -1).astype(np.int64) for x in p]
             code = bucket(contexts)
-            for x in bins:
-                code = code * 1024 + np.minimum(x + 1, 1023)
+            for x in p:
+                bins = np.where(x > 0, np.round(-BINS_PER_OCTAVE * np.log2(np.where(x > 0, x, 1))), -1).astype(np.int64)
+                code = code * 1024 + np.minimum(bins + 1, 1023)
             some, often = np.unique(code, return_counts=True)
             values, times, _ = group_sums(np.append(values, some), np.append(times, often))
         yield pa.record_batch([pa.array(values), pa.array(times)], names=["code", "times"])
@@ -201,10 +226,8 @@ def scores(docs: DataFrame, train: Column, order: int = ORDER) -> DataFrame:
             code //= 1024
         return code, bins[::-1]
 
-    histogram = full.select("payload", *names).mapInArrow(deleted, "code long, times long").groupBy("code").agg(F.sum("times").alias("times")).orderBy("code")
+    histogram = counted.mapInArrow(deleted, "code long, times long").groupBy("code").agg(F.sum("times").alias("times")).orderBy("code")
     weights = learn([(*uncode(x["code"]), x["times"]) for x in histogram.toLocalIterator()], order, uniform)
-    del histogram
-    free_messages(docs.sparkSession)
     pooled = weights.pop(-1, np.append(1.0, np.zeros(order)))
     number = np.array(sorted(weights), np.int64)
     matrix = np.array([weights[k] for k in sorted(weights)] + [pooled])
@@ -227,7 +250,7 @@ def scores(docs: DataFrame, train: Column, order: int = ORDER) -> DataFrame:
                 names=["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    return full.select("payload", *names).mapInArrow(score, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return counted.mapInArrow(score, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def fold(column: str = "doc_id", folds: int = 5) -> Column:
