@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import ALNUM_RAW, binary_array, clean_documents, pieces, ranges, table, word_cuts
+from tessella.llm.common import ALNUM_RAW, binary_array, clean_documents, packed, pieces, ranges, table, word_cuts
 
 WINDOW = 13
 SHARE = 20  # a document is affected if one word in so many is hit
@@ -197,7 +197,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_bytes
 
 
 def _hits(docs: DataFrame, benchmark: DataFrame, width: int, block_bytes: int) -> DataFrame:
-    docs = clean_documents(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = packed(clean_documents(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")))
     scans = [_scan(docs, block) for block in _blocks(benchmark, width, block_bytes)] or [_scan(docs, TestBlock([], [], width))]
     if len(scans) == 1:
         return scans[0]
@@ -254,7 +254,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, b
             counts, spans, _, _ = search(part.column(part.schema.get_field_index("text")), held.value)
             yield part.filter(pa.array([not affected(n, s, share) for n, s in zip(counts.tolist(), spans)]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return packed(docs).mapInArrow(run, docs.schema)
 
 
 def _n_hit() -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import LOWER, NOT_WHITE, clean_documents, pieces, stored, table, text_bytes
+from tessella.llm.common import LOWER, NOT_WHITE, clean_documents, fresh_name, in_tasks, packed, pieces, stored, table, text_bytes
 from tessella.llm.exchange import answer, answered, ask, mix, shard_number, with_answers
 
 MIN_CHARS = 40
@@ -147,8 +147,10 @@ def marked(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS
     points or more that `min_docs` rows or more hold lose all their lines but those in the largest doc_id.
     Rows count as documents of their own even where doc_ids repeat; of a frequent line all rows with the
     largest doc_id keep theirs. A null doc_id is smaller than any. A null or empty text is one empty line.
+    Where docs has columns of the new names, they keep theirs and the new ones are called n_lines_1 and so on.
     """
     schema = docs.schema
+    names = [fresh_name(x, docs.columns) for x in ("n_lines", "n_dropped", "kept")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -162,8 +164,9 @@ def marked(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS
             yield pa.record_batch([pa.array([chunk], pa.int64()), pa.array([len(keys)], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "n_keys", "payload"])
             chunk += 1
 
-    chunks = stored(docs.mapInArrow(cut, "chunk long, n_keys long, payload binary"), "lines-chunks", "uncompressed")
-    shards = shard_number(chunks.agg(F.sum("n_keys")).first()[0] or 0)
+    chunks = stored(packed(docs).mapInArrow(cut, "chunk long, n_keys long, payload binary"), "lines-chunks", "uncompressed")
+    n_keys, n_chunks = (x or 0 for x in chunks.agg(F.sum("n_keys"), F.count("*")).first())
+    shards = shard_number(n_keys)
 
     def reply(keys: np.ndarray, columns: list[np.ndarray], _: np.ndarray) -> tuple[list[np.ndarray], dict[str, int]]:
         check, documents, largest = columns
@@ -181,12 +184,14 @@ def marked(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
-                yield _dropped(_load(row), answered(row["reply0"]) > 0, answered(row["reply0"], 1), min_chars)
+                yield _dropped(_load(row), answered(row["reply0"]) > 0, answered(row["reply0"], 1), min_chars, names)
 
-    return with_answers(chunks.drop("n_keys"), replies).mapInArrow(drop, T.StructType([*schema.fields, *T.StructType.fromDDL("n_lines long, n_dropped long, kept string").fields]))
+    full = in_tasks(with_answers(chunks.drop("n_keys"), replies), n_chunks * CHUNK_BYTES)
+    added = [T.StructField(name, kind) for name, kind in zip(names, (T.LongType(), T.LongType(), T.StringType()))]
+    return full.mapInArrow(drop, T.StructType([*schema.fields, *added]))
 
 
-def _dropped(part: pa.RecordBatch, often: np.ndarray, last: np.ndarray, min_chars: int) -> pa.RecordBatch:
+def _dropped(part: pa.RecordBatch, often: np.ndarray, last: np.ndarray, min_chars: int, names: list[str]) -> pa.RecordBatch:
     texts = part.column(part.schema.get_field_index("text"))
     lines, some, key, _ = lines_of(texts, min_chars)
     doc = np.searchsorted(np.cumsum(lines), some, "right")
@@ -200,7 +205,7 @@ def _dropped(part: pa.RecordBatch, often: np.ndarray, last: np.ndarray, min_char
     for d in np.flatnonzero(dropped):
         out = set((at[cuts[d] : cuts[d + 1]] - head[d]).tolist())
         kept[d] = "\n".join(x for k, x in enumerate(kept[d].split("\n")) if k not in out)
-    return pa.RecordBatch.from_arrays([*part.columns, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())], names=[*part.schema.names, "n_lines", "n_dropped", "kept"])
+    return pa.RecordBatch.from_arrays([*part.columns, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())], names=[*part.schema.names, *names])
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import LOWER, NOT_WHITE, clean_documents, pieces, stored, table, text_bytes
+from tessella.llm.common import LOWER, NOT_WHITE, clean_documents, fresh_name, packed, pieces, stored, table, text_bytes
 from tessella.llm.exchange import mix
 
 BUCKET_BITS = 16
@@ -122,7 +122,7 @@ def train_on(rows: DataFrame, domains: list[str]) -> Classifier:
     d, buckets = len(domains), 1 << BUCKET_BITS
     number = F.array_position(F.array(*[F.lit(x) for x in domains]), F.col("label")).cast("int") - 1
     tuned = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0, F.lit(False))
-    rows = stored(rows.select("text", number.alias("number"), tuned.alias("tuned")).where("text is not null and number >= 0"), "mix-labelled")
+    rows = stored(packed(rows.select("text", number.alias("number"), tuned.alias("tuned")).where("text is not null and number >= 0")), "mix-labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, counts = np.zeros(2 * d, np.int64), np.zeros(2 * d * buckets, np.int64)
@@ -218,7 +218,7 @@ def fit(docs: DataFrame, classifier: Classifier, weights: dict[str, float], tota
 
     held = docs.sparkSession.sparkContext.broadcast(classifier)
     d = len(classifier.domains)
-    parts = stored(clean_documents(docs, "text").mapInArrow(classify, "tokens long, p array<double>"), "mix-posteriors", "snappy")
+    parts = stored(packed(clean_documents(docs, "text")).mapInArrow(classify, "tokens long, p array<double>"), "mix-posteriors", "snappy")
     first = _sums(parts, d * d + d, lambda t, p: np.concatenate([((p * t[:, None]).T @ p).ravel(), t @ p]))
     gram, totals = first[: d * d].reshape(d, d), first[d * d :]
     share = np.array([max(weights.get(x, 0.0), 0.0) for x in classifier.domains])
@@ -288,10 +288,12 @@ def _implicit(parts: DataFrame, done: np.ndarray, totals: np.ndarray, targets: n
 
 
 def rated(docs: DataFrame, found: Mix) -> DataFrame:
-    """The rows of docs with domain (the likeliest), n_tokens and rate.
+    """The rows of docs with domain (the likeliest; of equally likely ones the first by name), n_tokens and rate.
 
-    A null or empty text has the prior as its posteriors and no tokens. Repeated rows get the same rate.
+    A null or empty text has the prior as its posteriors and no tokens. Repeated rows get the same rate. Where docs
+    has columns of the new names, they keep theirs and the new ones are called domain_1 and so on.
     """
+    names = [fresh_name(x, docs.columns) for x in ("domain", "n_tokens", "rate")]
     held = docs.sparkSession.sparkContext.broadcast(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,9 +302,10 @@ def rated(docs: DataFrame, found: Mix) -> DataFrame:
             p = held.value.classifier.posteriors(text)
             domain = pa.array([held.value.classifier.domains[i] for i in p.argmax(1)], pa.string())
             columns = [*part.columns, domain, pa.array(token_counts(text), pa.int64()), pa.array(rates_of(p, held.value.steps))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "domain", "n_tokens", "rate"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *names])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *T.StructType.fromDDL("domain string, n_tokens long, rate double").fields]))
+    added = [T.StructField(name, kind) for name, kind in zip(names, (T.StringType(), T.LongType(), T.DoubleType()))]
+    return packed(docs).mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
 def mixed(docs: DataFrame, found: Mix) -> DataFrame:
@@ -319,7 +322,7 @@ def mixed(docs: DataFrame, found: Mix) -> DataFrame:
                 some = np.flatnonzero(copies > low)
                 yield part.take(pa.array(some))
 
-    return docs.mapInArrow(run, docs.schema)
+    return packed(docs).mapInArrow(run, docs.schema)
 
 
 #: The mix of the query and of the pipeline: languages, and in each nine tenths of good quality.

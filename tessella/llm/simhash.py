@@ -26,13 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tessella.llm.common import NOT_WHITE, clean_documents, pieces, stored, table, word_cuts
+from tessella.llm.common import NOT_WHITE, clean_documents, in_tasks, packed, pieces, stored, table, word_cuts
 
 DISTANCE = 3
 SHINGLE = 3
 SEED = 42
 GROUP = 4096
 FANOUT = 8
+LINK_ROWS = 8 * GROUP  # codes of a task that searches
+TABLE_ROWS = 1 << 18  # rows of a stored file of codes or edges
+HOT_COPIES = 1 << 14  # of one fingerprint, that don't meet in one task
 
 
 def fingerprints_of(column: pa.Array, width: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -76,7 +79,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) -> Dat
             fp = fingerprints_of(part.column(1), width, seed)
             yield pa.record_batch([part.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return clean_documents(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, fp long")
+    return packed(clean_documents(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))).mapInArrow(run, "doc_id long, fp long")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -193,7 +196,9 @@ def _deal(df: DataFrame) -> DataFrame:
     return df.select("fp", "free", "part").mapInArrow(run, "fp long, free long, part long")
 
 
-def _link(df: DataFrame, limit: int) -> DataFrame:
+def _link(df: DataFrame, limit: int, rows: int) -> DataFrame:
+    """Forests of the groups of df, which has so many rows. Searching is work for CPUs, so tasks go by rows and not by their few bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(fp: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
             a, b = forest(fp.view(np.uint64), part, limit)
@@ -203,7 +208,7 @@ def _link(df: DataFrame, limit: int) -> DataFrame:
         for batch in batches:
             fp = np.append(fp, batch.column(0).to_numpy(zero_copy_only=False))
             part = np.append(part, batch.column(1).to_numpy(zero_copy_only=False))
-            if len(fp) >= 8 * GROUP:
+            if len(fp) >= LINK_ROWS:
                 cut = int(np.searchsorted(part, part[-1]))  # sorted by part: the last group may go on
                 if cut:
                     yield found(fp[:cut], part[:cut])
@@ -211,7 +216,8 @@ def _link(df: DataFrame, limit: int) -> DataFrame:
         if len(fp):
             yield found(fp, part)
 
-    return df.repartition("part").sortWithinPartitions("part").select("fp", "part").mapInArrow(run, "a long, b long")
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // LINK_ROWS))
+    return df.repartition(tasks, "part").sortWithinPartitions("part").select("fp", "part").mapInArrow(run, "a long, b long").coalesce(tasks)
 
 
 def links(nodes: DataFrame, limit: int = DISTANCE) -> DataFrame:
@@ -221,10 +227,11 @@ def links(nodes: DataFrame, limit: int = DISTANCE) -> DataFrame:
     work, found = nodes.select("fp", F.lit(-1).cast("long").alias("free"), F.lit(0).cast("long").alias("part")), None
     while True:
         dealt = stored(_deal(work), "simhash-dealt", "snappy")
-        large = stored(dealt.groupBy("part", "free").count().where(F.col("count") > GROUP).select("part"), "simhash-large", "snappy")
+        rows = dealt.count()
+        large = stored(in_tasks(dealt.groupBy("part", "free").count().where(F.col("count") > GROUP).select("part"), rows // GROUP, TABLE_ROWS), "simhash-large", "snappy")
         none_large = large.isEmpty()
         small = dealt if none_large else dealt.join(large, "part", "left_anti")
-        edges = stored(_link(small, limit), "simhash-edges", "snappy")
+        edges = stored(_link(small, limit, rows), "simhash-edges", "snappy")
         found = edges if found is None else found.unionByName(edges)
         if none_large:
             return found
@@ -233,7 +240,12 @@ def links(nodes: DataFrame, limit: int = DISTANCE) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node and root, the smallest node of its component, for each node that has an edge. Alternates large-star and small-star rounds."""
-    edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star", "snappy")
+    rows = edges.count()
+
+    def kept(df: DataFrame) -> DataFrame:
+        return stored(in_tasks(df.distinct(), rows, TABLE_ROWS), "star", "snappy")  # rounds only shorten the edges
+
+    edges = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("u", "v"))).first())
@@ -242,11 +254,11 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
-        large = stored(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "star", "snappy")
+        large = kept(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
-        edges = stored(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star", "snappy")
+        edges = kept(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
         now = state(edges)
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -255,7 +267,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _grouped(prints: DataFrame, limit: int) -> DataFrame:
     """fp, root, least_doc, copies of each distinct fingerprint of prints (doc_id, fp)."""
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least_doc"), F.count("*").alias("copies")), "simhash-nodes", "snappy")
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least_doc"), F.count("*").alias("copies"))
+    nodes = stored(in_tasks(nodes, prints.count(), TABLE_ROWS), "simhash-nodes", "snappy")
     roots = components(links(nodes, limit))
     return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
@@ -268,10 +281,17 @@ def near_duplicates(docs: DataFrame, limit: int = DISTANCE) -> DataFrame:
     the smallest of the others, or null if there are none. Columns but doc_id and text are not read.
     """
     prints = stored(fingerprints(docs), "simhash-prints", "snappy")
+    rows = prints.count()
     placed = _grouped(prints, limit)
     least = placed.groupBy("root").agg(F.min("least_doc").alias("component_id"))
-    placed = stored(placed.join(least, "root").select("fp", "component_id", "copies"), "simhash-placed", "snappy")
-    return prints.join(placed, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies")
+    placed = stored(in_tasks(placed.join(least, "root").select("fp", "component_id", "copies"), rows, TABLE_ROWS), "simhash-placed", "snappy")
+    # Rows of a fingerprint with many copies don't shuffle: at most 65,536 fingerprints have so many, and these are broadcast.
+    many = max(HOT_COPIES, rows >> 16)
+    hot = placed.where(F.col("copies") > many)
+    common = prints.join(F.broadcast(hot), "fp")
+    others = prints.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(placed.where(F.col("copies") <= many).hint("merge"), "fp")
+    every = common.unionByName(others)
+    return every.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies")
 
 
 def one_of_each(docs: DataFrame, limit: int = DISTANCE) -> DataFrame:
@@ -291,7 +311,7 @@ def one_of_each(docs: DataFrame, limit: int = DISTANCE) -> DataFrame:
             place += len(fp)
 
     named = StructType([*schema.fields, StructField("simhash fp", LongType()), StructField("simhash place", LongType())])
-    numbered = stored(docs.mapInArrow(run, named), "simhash-numbered")
+    numbered = stored(packed(docs).mapInArrow(run, named), "simhash-numbered")
     rows = numbered.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("simhash fp").alias("fp"), F.col("simhash place").alias("place"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "place")).alias("first")
     heads = rows.groupBy("fp").agg(first)  # one row for each fingerprint before groups meet

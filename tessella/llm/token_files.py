@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import NOT_WHITE, binary_array, clean_documents, pieces, ranges, scratch_path, stored, table, text_bytes, word_cuts
+from tessella.llm.common import NOT_WHITE, binary_array, clean_documents, packed, pieces, ranges, scratch_path, stored, table, text_bytes, word_cuts
 from tessella.llm.exchange import squeeze, unsqueeze
 
 END_ID = 2
@@ -263,7 +263,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> N
         start = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
         return np.frombuffer(column.buffers()[2], kind, int(sizes.sum()), int(start)).astype(np.int64), sizes
 
-    tokens = stored(docs.mapInArrow(tokenise, "doc_id long, ids binary"), "tokens")
+    tokens = stored(packed(docs).mapInArrow(tokenise, "doc_id long, ids binary"), "tokens")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)

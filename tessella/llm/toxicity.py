@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import clean_documents, fresh_name, labelled_sample, pieces, stored, table, text_bytes
+from tessella.llm.common import clean_documents, fresh_name, labelled_sample, packed, pieces, stored, table, text_bytes
 from tessella.llm.exchange import squeeze, unsqueeze
 
 SAMPLE_ROWS = 10_000
@@ -29,7 +29,7 @@ BUCKET_BITS = 20
 FEATURES = 2048
 SIGNIFICANCE = 20.0  # least log-likelihood ratio of a feature
 RIDGE = 3e-4
-FIT_TASKS = 24
+FIT_TASKS = 16
 RANGES = 64  # of buckets, that tasks add up
 BLOCK = 1024  # rows of the sample that are unpacked at a time
 PIECE_BYTES = 2 << 20
@@ -215,7 +215,7 @@ def scored(docs: DataFrame, model: Model, keep: float | None = None) -> DataFram
             else:
                 yield part.filter(pa.array(score < keep))
 
-    return docs.mapInArrow(run, docs.schema if keep is not None else T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return packed(docs).mapInArrow(run, docs.schema if keep is not None else T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def held_out(column: str = "doc_id") -> Column:

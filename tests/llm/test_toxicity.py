@@ -110,7 +110,7 @@ def test_sample_does_not_depend_on_file_layout(spark):
     for some in (rows, sorted(rows, key=lambda r: (r[2], -(r[0] or 0)))):
         docs = spark.createDataFrame(some, "doc_id long, text string, side int").coalesce(1)
         got = labelled_sample(docs, labels, 200, 5)
-        assert got.rdd.getNumPartitions() == 5
+        assert got.rdd.getNumPartitions() <= 5
         found.append(sorted(map(tuple, got.collect())))
         assert [x[0] for x in found[-1]] == sorted(order[:200])
         assert len(labelled_sample(docs, labels, 1000, 3).collect()) == 301
