@@ -40,6 +40,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Python tasks of stored stages get Arrow batches of so many bytes; Spark's own bound is 64 MB, twice that with the buffers' growth, for each task.
+ARROW_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes df as a Parquet table in the scratch folder and returns the reread table.
 
@@ -47,7 +51,14 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """
     path = f"{scratch_path(df.sparkSession, name)}/table"
     # Without the file that marks success: the path is known only after the commit.
-    df.write.option("compression", codec).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    writer = df.write.option("compression", codec).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    conf = df.sparkSession.conf
+    before = conf.get(ARROW_BYTES, None)
+    conf.set(ARROW_BYTES, str(BATCH_BYTES))
+    try:
+        writer.parquet(path)
+    finally:
+        conf.set(ARROW_BYTES, before) if before else conf.unset(ARROW_BYTES)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch = path
     return out
