@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import ALNUM_RAW, binary_array, clean_documents, packed, pieces, ranges, table, word_cuts
+from tessella.llm.common import ALNUM_RAW, binary_array, clean_documents, distinct, packed, pieces, ranges, table, word_cuts
 
 WINDOW = 13
 SHARE = 20  # a document is affected if one word in so many is hit
@@ -157,7 +157,7 @@ def search(texts: pa.Array, test: TestBlock) -> tuple[np.ndarray, list[np.ndarra
         at = shard.order[begin:end]
         mark[at] += 1
         mark[at + words] -= 1
-        for d in np.unique(owner[at]).tolist():
+        for d in distinct(owner[at]).tolist():
             items[d] |= mine
     edge = np.flatnonzero(np.diff(np.cumsum(mark) > 0, prepend=False, append=False))
     of = owner[edge[::2]]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import LOWER, NOT_WHITE, clean_documents, fresh_name, in_tasks, packed, pieces, stored, table, text_bytes
+from tessella.llm.common import LOWER, NOT_WHITE, clean_documents, distinct, fresh_name, in_tasks, packed, pieces, stored, table, text_bytes
 from tessella.llm.exchange import answer, answered, ask, mix, shard_number, with_answers
 
 MIN_CHARS = 40
@@ -195,7 +195,7 @@ def _dropped(part: pa.RecordBatch, often: np.ndarray, last: np.ndarray, min_char
     texts = part.column(part.schema.get_field_index("text"))
     lines, some, key, _ = lines_of(texts, min_chars)
     doc = np.searchsorted(np.cumsum(lines), some, "right")
-    number = np.searchsorted(np.unique(key), key)
+    number = np.searchsorted(distinct(key), key)
     gone = often[number] & (last[number] != _ids(part.column(part.schema.get_field_index("doc_id")))[doc]) if len(key) else np.empty(0, bool)
     dropped = np.bincount(doc[gone], minlength=len(lines))
     kept = texts.fill_null("").to_pylist()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tessella.llm.common import NOT_WHITE, clean_documents, in_tasks, packed, pieces, stored, table, word_cuts
+from tessella.llm.common import NOT_WHITE, clean_documents, distinct, in_tasks, packed, pieces, stored, table, word_cuts
 
 DISTANCE = 3
 SHINGLE = 3
@@ -182,7 +182,7 @@ def _deal(df: DataFrame) -> DataFrame:
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             free = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
             part = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
-            for mask in np.unique(free):
+            for mask in distinct(free):
                 rows = np.flatnonzero(free == mask)
                 for i, block in enumerate(block_masks(int(mask))):
                     value = fp[rows] & np.uint64(block)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import clean_documents, fresh_name, labelled_sample, packed, pieces, stored, table, text_bytes
+from tessella.llm.common import clean_documents, distinct, fresh_name, labelled_sample, packed, pieces, stored, table, text_bytes
 from tessella.llm.exchange import squeeze, unsqueeze
 
 SAMPLE_ROWS = 10_000
@@ -66,8 +66,8 @@ class Model:
         for text, bucket, inside in ngram_buckets(column):
             slot = self.slot[bucket]
             at = np.flatnonzero((slot >= 0) & inside)
-            found.append(np.unique(text[at].astype(np.int64) * size + slot[at]))
-        pairs = np.unique(np.concatenate(found))
+            found.append(distinct(text[at].astype(np.int64) * size + slot[at]))
+        pairs = distinct(np.concatenate(found))
         return (pairs // size, pairs % size) if size else (pairs, pairs)
 
     def scores(self, column: pa.Array) -> np.ndarray:
@@ -80,9 +80,9 @@ def held_by(column: pa.Array, labels: np.ndarray) -> np.ndarray:
     """Of each label, 0 or 1, and bucket: the texts that hold it."""
     buckets = 1 << BUCKET_BITS
     out = np.zeros(2 * buckets, np.int64)
-    pairs = [np.unique(text[inside].astype(np.int64) * buckets + bucket[inside]) for text, bucket, inside in ngram_buckets(column)]
+    pairs = [distinct(text[inside].astype(np.int64) * buckets + bucket[inside]) for text, bucket, inside in ngram_buckets(column)]
     if pairs:
-        text, bucket = np.divmod(np.unique(np.concatenate(pairs)), buckets)
+        text, bucket = np.divmod(distinct(np.concatenate(pairs)), buckets)
         out += np.bincount(labels[text] * buckets + bucket, minlength=2 * buckets)
     return out.reshape(2, buckets)
 
