@@ -74,7 +74,8 @@ def _minima(hashes: Column) -> Column:
 def scan(docs: DataFrame, templates: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, template_id, containment (the best window's), n_windows (that reach the bound), first_word (of the first of these).
 
-    One row for each doc_id and template found in it; repeated rows of a doc_id count once. Texts and templates of
+    One row for each doc_id and template found in it; repeated rows of a doc_id count once,
+    and all rows with a null doc_id are one. Texts and templates of
     fewer than five words have no shingles and are not found; null texts neither. Templates of equal id are one each.
     Columns but doc_id, template_id and text are not read.
     """

@@ -70,18 +70,38 @@ class MinimalPerfectHash:
         return out
 
 
+def same_lines(keys: np.ndarray, fingerprint: np.ndarray, *then: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of lines by hash, then by `then`, and where in it another line than before begins. A line's hash is both its halves."""
+    order = np.lexsort((*then, fingerprint, keys))
+    k, f = keys[order], fingerprint[order]
+    return order, np.append(True, (k[1:] != k[:-1]) | (f[1:] != f[:-1]))[: len(k)]
+
+
 class LineIndex:
-    """The minimal perfect hash of distinct line hashes, with compact arrays: fingerprint, documents, largest doc_id."""
+    """The minimal perfect hash of distinct line hashes (two halves each), with compact arrays: fingerprint, documents, largest doc_id."""
 
     def __init__(self, keys: np.ndarray, fingerprint: np.ndarray, documents: np.ndarray, largest: np.ndarray):
-        self.hash = MinimalPerfectHash(keys)
-        place = self.hash.number(keys)
+        self.seed = 0
+        while len(distinct(self._code(keys, fingerprint))) < len(keys):  # two lines' codes met
+            self.seed += 1
+        self.hash = MinimalPerfectHash(self._code(keys, fingerprint))
+        place = self.hash.number(self._code(keys, fingerprint))
         self.fingerprint, self.documents, self.largest = (np.empty_like(x) for x in (fingerprint, documents, largest))
         self.fingerprint[place], self.documents[place], self.largest[place] = fingerprint, documents, largest
 
+    def _code(self, keys: np.ndarray, fingerprint: np.ndarray) -> np.ndarray:
+        return mix(keys ^ np.uint64(self.seed), fingerprint)
+
+    @classmethod
+    def of(cls, keys: np.ndarray, fingerprint: np.ndarray, documents: np.ndarray, largest: np.ndarray) -> LineIndex:
+        """From what chunks say about their lines, which repeat: documents add up, the largest doc_id of all counts."""
+        order, fresh = same_lines(keys, fingerprint)
+        starts = np.flatnonzero(fresh)
+        return cls(keys[order][starts], fingerprint[order][starts], np.add.reduceat(documents[order], starts), np.maximum.reduceat(largest[order], starts))
+
     def probe(self, keys: np.ndarray, fingerprint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Documents and largest doc_id of each key; none if the fingerprint is another."""
-        place = self.hash.number(keys)
+        """Documents and largest doc_id of each line; none if the fingerprint is another."""
+        place = self.hash.number(self._code(keys, fingerprint))
         known = (place >= 0) & (self.fingerprint[place] == fingerprint) if self.hash.size else np.zeros(len(keys), bool)
         return np.where(known, self.documents[place], 0) if self.hash.size else known.astype(np.uint64), np.where(known, self.largest[place], 0) if self.hash.size else known.astype(np.uint64)
 
@@ -122,12 +142,11 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 
 def _keys(part: pa.RecordBatch, min_chars: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Sorted distinct line hashes of a chunk, and of each: fingerprint, documents, largest doc_id."""
+    """First halves of the distinct line hashes of a chunk, sorted by both halves, and of each: the second half, documents, largest doc_id."""
     lines, some, key, check = lines_of(part.column(part.schema.get_field_index("text")), min_chars)
     doc = np.searchsorted(np.cumsum(lines), some, "right")
-    order = np.lexsort((doc, key))
+    order, fresh = same_lines(key, check, doc)
     key, check, doc = key[order], check[order], doc[order]
-    fresh = np.append(True, key[1:] != key[:-1])[: len(key)]
     starts = np.flatnonzero(fresh)
     if not len(starts):
         return key, [check, key, key]
@@ -170,9 +189,7 @@ def marked(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS
 
     def reply(keys: np.ndarray, columns: list[np.ndarray], _: np.ndarray) -> tuple[list[np.ndarray], dict[str, int]]:
         check, documents, largest = columns
-        order = np.argsort(keys, kind="stable")
-        starts = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
-        index = LineIndex(keys[order][starts], check[order][starts], np.add.reduceat(documents[order], starts), np.maximum.reduceat(largest[order], starts))
+        index = LineIndex.of(keys, check, documents, largest)
         held, last = index.probe(keys, check)
         often = held >= min_docs
         return [often.astype(np.uint64), np.where(often, last, 0)], {}
@@ -193,9 +210,11 @@ def marked(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS
 
 def _dropped(part: pa.RecordBatch, often: np.ndarray, last: np.ndarray, min_chars: int, names: list[str]) -> pa.RecordBatch:
     texts = part.column(part.schema.get_field_index("text"))
-    lines, some, key, _ = lines_of(texts, min_chars)
+    lines, some, key, check = lines_of(texts, min_chars)
     doc = np.searchsorted(np.cumsum(lines), some, "right")
-    number = np.searchsorted(distinct(key), key)
+    order, fresh = same_lines(key, check)
+    number = np.empty(len(key), np.int64)
+    number[order] = np.cumsum(fresh) - 1
     gone = often[number] & (last[number] != _ids(part.column(part.schema.get_field_index("doc_id")))[doc]) if len(key) else np.empty(0, bool)
     dropped = np.bincount(doc[gone], minlength=len(lines))
     kept = texts.fill_null("").to_pylist()

@@ -41,12 +41,18 @@ _LETTER[ord("a") : ord("z") + 1] = True
 _MARK[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
 
 
+#: The steps of the public word-level file, for which a word's ids don't depend on its neighbours.
+WORD_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORD_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+WORD_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
 class Encoder:
     """Ids of texts by a tokenizers file.
 
-    Where the file's steps never look past white space (NFC, white space to a space, lower case; a split
-    that drops white space; BPE with word ends), a word's ids don't depend on its neighbours: distinct words
-    are encoded once and kept in a bounded cache. Any other file encodes whole texts.
+    Where the file's steps never look past white space (exactly those of the public word-level file, BPE with word
+    ends, and added tokens that begin with <| and take no white space in), a word's ids don't depend on its
+    neighbours: distinct words are encoded once and kept in a bounded cache. Any other file encodes whole texts.
     """
 
     def __init__(self, path: str):
@@ -55,10 +61,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         steps = lambda x, inner: (x or {}).get(inner, [x] if x else [])
-        normal = [n["type"] for n in steps(spec["normalizer"], "normalizers")]
-        split = steps(spec["pre_tokenizer"], "pretokenizers")[:1]
         self.suffix = spec["model"].get("end_of_word_suffix")
-        self.by_words = bool(self.suffix and {*normal} <= {"NFC", "Replace", "Lowercase"} and split and split[0]["type"] == "Split" and split[0]["behavior"] == "Removed" and split[0]["invert"])
+        plain = steps(spec["normalizer"], "normalizers") == WORD_NORMALIZERS and steps(spec["pre_tokenizer"], "pretokenizers") == [WORD_SPLIT, WORD_BYTES]
+        apart = all(x["content"].startswith("<|") and not (x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"]) for x in spec["added_tokens"])
+        self.by_words = bool(self.suffix and plain and apart and spec["model"]["type"] == "BPE" and spec["post_processor"] is None)
         vocabulary = self.tokenizer.get_vocab(True)
         self.size = max(vocabulary.values()) + 1
         self.ends = np.zeros(self.size, bool)
@@ -337,22 +343,21 @@ def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     header = spark.read.parquet(f"{path}/header").first()
     lengths, limit = unsqueeze(bytes(header["lengths"])), header["longest"]
     blocks = spark.read.parquet(f"{path}/blocks")
-    # One row for each part that the file was written in.
-    sizes = {r["part"]: r["n"] for r in blocks.groupBy("part").agg(F.sum("n").alias("n")).collect()}
-    before, total = {}, 0
-    for part in sorted(sizes):
-        before[part] = total
-        total += sizes[part]
+    # Two numbers for each part that the file was written in, of `PARTS_BYTES` of code or more: some 100 MB for 100 TB.
+    sizes = blocks.groupBy("part").agg(F.sum("n").alias("n")).toArrow().sort_by("part")
+    parts, size = sizes["part"].to_numpy(), sizes["n"].to_numpy()
+    held = spark.sparkContext.broadcast((parts, np.cumsum(size) - size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Code(lengths, limit)
+        parts, before = held.value
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
                 size = unsqueeze(row["sizes"]).astype(np.int64)
                 ids = code.decode(np.frombuffer(row["code"], np.uint8), np.cumsum(unsqueeze(row["checkpoints"]).astype(np.int64)), size)
                 ends = np.cumsum(size)
-                start = before[row["part"]] + row["before"] + ends - size
+                start = before[np.searchsorted(parts, row["part"])] + row["before"] + ends - size
                 if digest:
                     raw = memoryview(ids.astype("<u4").tobytes())
                     last = pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((ends - size).tolist(), ends.tolist())], pa.int64())

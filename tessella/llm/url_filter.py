@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import table
+from tessella.llm.common import stored, table
 
 SALTS = 16
 
@@ -80,6 +80,7 @@ def dated_list(pages: DataFrame) -> DataFrame:
     """The list of the query: entries about a third of the hosts, a fifth of their /en paths, and two parent domains, dated by
     a digest of the host, so that SQL can form the same list."""
     hosts = pages.select(host_of(F.col("url")).alias("host")).where("host <> ''").distinct().withColumn("v", F.conv(F.substring(F.md5("host"), 1, 4), 16, 10).cast("int"))
+    hosts = stored(hosts, "url-hosts", "snappy")  # read by each kind of entry
     day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n)
     entry = lambda pattern, listed, action: F.struct(pattern.alias("pattern"), listed.alias("listed"), F.lit(action).alias("action"))
     host, v = F.col("host"), F.col("v")

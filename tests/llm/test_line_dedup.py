@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from tessella.llm import line_dedup
 
@@ -46,3 +47,27 @@ def test_minimal_perfect_hash():
     index = line_dedup.LineIndex(keys, ~keys, keys, keys)
     other = r.integers(0, 2**63, 1000, dtype=np.uint64)
     assert not index.probe(other, ~other)[0].any() and (index.probe(keys, ~keys)[0] == keys).all()
+
+
+def test_lines_that_share_half_a_hash(monkeypatch):
+    """Are told apart by the other half: in a chunk, in a shard, and when the chunk drops its lines."""
+    whole = line_dedup.xxhash.xxh3_128_digest
+    monkeypatch.setattr(line_dedup.xxhash, "xxh3_128_digest", lambda x: bytes([len(x) % 2]) * 8 + whole(x)[8:])
+    a, b, c = "a" * 50, "b" * 50, "c" * 51
+    rows = [(i, "\n".join([a] * (i < 6) + [b] * (i < 3) + [c])) for i in range(8)]
+    part = pa.record_batch([pa.array([d for d, _ in rows]), pa.array([t for _, t in rows])], names=["doc_id", "text"])
+    keys, columns = line_dedup._keys(part, 40)
+    assert len(keys) == 3 and len(set(keys.tolist())) == 2 and sorted(columns[1].tolist()) == [3, 6, 8]
+    index = line_dedup.LineIndex.of(np.tile(keys, 2), *(np.tile(x, 2) for x in columns))
+    held, last = index.probe(keys, columns[0])
+    assert (held == 2 * columns[1]).all() and (last == columns[2]).all()
+    often = columns[1] >= 5
+    out = line_dedup._dropped(part, often, np.where(often, columns[2], 0), 40, ["x", "y", "z"])
+    assert out.column(4).to_pylist() == [x[3] for x in sorted(slow(rows))]
+
+
+def test_clashing_names_keep_theirs(spark):
+    docs = spark.createDataFrame([(1, "a", 7, "k")], "doc_id long, text string, N_LINES int, kept string")
+    got = line_dedup.marked(docs)
+    assert got.columns == ["doc_id", "text", "N_LINES", "kept", "n_lines_1", "n_dropped", "kept_1"]
+    assert tuple(got.select("N_LINES", "kept", "n_lines_1", "kept_1").first()) == (7, "k", 1, "a")

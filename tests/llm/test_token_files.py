@@ -47,6 +47,28 @@ def test_word_cache_equals_whole_texts(monkeypatch):
         assert ids.tolist() == 2 * (tokenizer.encode(t or "", add_special_tokens=False).ids + [2]) + [2] and len(sizes) == 3
 
 
+@pytest.mark.parametrize("change", ["split", "added", "normalizer"])
+def test_other_files_encode_whole_texts(tmp_path, change):
+    """A file that differs from the public one in a step that the cutting into words relies on."""
+    import json
+
+    import pyarrow as pa
+
+    spec = json.load(open(PATH))
+    if change == "split":
+        spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = "[^x]+"
+    elif change == "added":
+        spec["added_tokens"][0] |= {"content": "hello w", "special": False}
+    else:
+        spec["normalizer"]["normalizers"][1]["content"] = "x"
+    path = str(tmp_path / "other.json")
+    json.dump(spec, open(path, "w"))
+    encoder, tokenizer, texts = tf.Encoder(path), Tokenizer.from_file(path), ["hello world, it's x  two", None, "a\n b"]
+    ids, sizes = encoder.encode(pa.array(texts))
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    assert not encoder.by_words and ids.tolist() == sum(want, []) and sizes.tolist() == [len(x) for x in want]
+
+
 def test_empty_table(spark):
     assert tf.written_and_read(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
