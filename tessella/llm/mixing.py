@@ -11,7 +11,8 @@ totals, the sum of r t p, from the targets, by projected gradient:
 creep, so after `STEPS` of them implicit steps follow, each as far as `LENGTHS` of them: the same update with
 the totals that it leads to, found by Newton's method on its d multipliers. The fit ends when the totals meet the
 targets within `TOLERANCE`, or when a long step moves them no more: then these are the nearest totals that
-rates can reach, and a warning tells the gap. A fit that ends by neither raises an error. A document's rate follows
+rates can reach, and a warning tells the gap. In this metric a domain that hardly any document has outweighs all others; where
+pursuing it would lead further from the targets than rates of 1 are, the directions in which G is small (`CUTOFFS`) are left out. A fit that ends by neither raises an error. A document's rate follows
 from its posteriors and the few numbers that each step adds, so a step is one aggregation of stored posteriors
 (an implicit one some), nothing about documents reaches the driver and no rates are joined.
 """
@@ -39,6 +40,7 @@ LENGTHS = (1e2, 1e4, 1e6)
 LONG_STEPS = 12  # the last length is repeated
 NEWTON_ROUNDS = 50
 TOLERANCE = 1e-6
+CUTOFFS = (1e-10, 1e-6, 1e-4, 1e-2)  # of G's eigenvalues, as a share of the largest
 EVIDENCE = (4, 8, 16, 32, 64, 128, 256, 512)
 
 
@@ -224,9 +226,25 @@ def fit(docs: DataFrame, classifier: Classifier, weights: dict[str, float], tota
     share = np.array([max(weights.get(x, 0.0), 0.0) for x in classifier.domains])
     targets = share / (share.sum() or 1) * (totals.sum() if total is None else total)
     values, vectors = np.linalg.eigh(gram)
-    some = values > 1e-10 * values.max(initial=0)
-    white = vectors[:, some] / np.sqrt(values[some])
-    done, last = np.empty((0, d)), np.inf
+    away = lambda x: float(np.abs(x - targets).sum())
+    for cutoff in CUTOFFS:
+        some = values > cutoff * values.max(initial=0)
+        done, found, still = _descend(parts, totals, targets, vectors[:, some] / np.sqrt(values[some]), steps)
+        if away(found) <= (1 + TOLERANCE) * away(totals):
+            break
+    else:
+        done, found, still = np.empty((0, d)), totals, False
+    mix_ = Mix(classifier, done, found, targets)
+    if still:
+        raise RuntimeError(f"The rates did not converge: the totals are {mix_.gap:.2g} of the targets away and still move.")
+    if mix_.gap > TOLERANCE:
+        warnings.warn(f"No rates meet the targets: the nearest totals are {mix_.gap:.2g} of them away.", stacklevel=2)
+    return mix_
+
+
+def _descend(parts: DataFrame, totals: np.ndarray, targets: np.ndarray, white: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The steps, the totals they lead to, and whether these still move."""
+    done, last = np.empty((0, len(totals))), np.inf
 
     def met(moved: float) -> bool:
         return bool(np.abs(totals - targets).sum() <= TOLERANCE * max(targets.sum(), 1)) or moved <= TOLERANCE * max(targets.sum(), 1)
@@ -235,7 +253,7 @@ def fit(docs: DataFrame, classifier: Classifier, weights: dict[str, float], tota
         if met(last):
             break
         done = np.vstack([done, white @ (white.T @ (totals - targets))])
-        before, totals = totals, _sums(parts, d, lambda t, p, done=done: (t * rates_of(p, done)) @ p)
+        before, totals = totals, _sums(parts, len(totals), lambda t, p, done=done: (t * rates_of(p, done)) @ p)
         last = np.abs(totals - before).sum()
     last = np.inf  # a short step may move little far from the end
     for length in (*LENGTHS, *[LENGTHS[-1]] * (LONG_STEPS - len(LENGTHS))):
@@ -243,12 +261,7 @@ def fit(docs: DataFrame, classifier: Classifier, weights: dict[str, float], tota
             break
         step, after = _implicit(parts, done, totals, targets, white, length)
         done, last, totals = np.vstack([done, step]), np.abs(after - totals).sum() if length == LENGTHS[-1] else np.inf, after
-    found = Mix(classifier, done, totals, targets)
-    if not met(last):
-        raise RuntimeError(f"The rates did not converge: the totals are {found.gap:.2g} of the targets away and still move.")
-    if found.gap > TOLERANCE:
-        warnings.warn(f"No rates meet the targets: the nearest totals are {found.gap:.2g} of them away.", stacklevel=2)
-    return found
+    return done, totals, not met(last)
 
 
 def _implicit(parts: DataFrame, done: np.ndarray, totals: np.ndarray, targets: np.ndarray, white: np.ndarray, length: float) -> tuple[np.ndarray, np.ndarray]:
