@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet to the shared scratch
 folder and rereads as the next stage's docs. All but the last return the columns of documents.
+
+Rows whose text is null or empty have no sign of toxicity but the classifier's bias, are near-duplicates of each other,
+and hold no passage and no token but the end id. Rows with a null doc_id are kept like others, learned from by no
+classifier, chosen last among near-duplicates and written first. Repeated rows are near-duplicates, so one stays. Extra
+columns, also of names that stages use inside, go through all stages but the last. Without documents the result is
+empty; without labels nothing is rejected, and every domain is as likely as the next; without benchmark items nothing is contaminated.
 """
 
 from __future__ import annotations
@@ -52,6 +58,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of each document in the token file."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
