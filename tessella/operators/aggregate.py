@@ -13,18 +13,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.distance import squared_distance
 from tessella.operators.assign import matrix, nearest_struct, slices, squared_distances, unrolled
 
 
-def _sum_arrays(partial: DataFrame, columns: dict[str, int], by: str = "cid") -> DataFrame:
-    """Sums, by key, of array columns of known length, element by element."""
-    sums = [F.sum(F.col(name)[j]).alias(f"{name}_{j}") for name, d in columns.items() for j in range(d)]
-    return partial.groupBy(by).agg(F.sum("n").alias("n"), *sums).select(by, "n", *[F.array(*[F.col(f"{name}_{j}") for j in range(d)]).alias(name) for name, d in columns.items()])
+def _sum_arrays(partial: DataFrame) -> DataFrame:
+    """(cid, n, s): the sums, in order of task, of partial (task, cid, n, s).
+
+    Arrays are added as such: a SQL sum of each element is a plan as wide as the arrays, compiled anew in every pass.
+    """
+
+    def add(parts: pa.Table) -> pa.Table:
+        order = np.argsort(parts["task"].to_numpy(), kind="stable")
+        total = matrix(parts["s"].combine_chunks())[order].sum(0)
+        return pa.table({"cid": parts["cid"][:1], "n": pa.array([int(parts["n"].to_numpy().sum())], pa.int64()), "s": pa.array([total], pa.list_(pa.float64()))})
+
+    return partial.groupBy("cid").applyInArrow(add, "cid int, n long, s array<double>")
+
+
+PARTIAL = "task int, cid int, n long, s array<double>"
+
+
+def _partial(n: np.ndarray, s: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A task's row for each cluster that it has members of."""
+    from pyspark import TaskContext
+
+    used = np.flatnonzero(n)
+    if len(used):
+        yield pa.record_batch([pa.array(np.full(len(used), TaskContext.get().partitionId()), pa.int32()), pa.array(used, pa.int32()), pa.array(n[used]), pa.array(list(s[used]), pa.list_(pa.float64()))], names=["task", "cid", "n", "s"])
 
 
 def _partial_sums(labelled: DataFrame, d: int) -> DataFrame:
-    """(cid, n, s): each task's sums of labelled (cid, x)."""
+    """(task, cid, n, s): each task's sums of labelled (cid, x)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, s = np.zeros(0, np.int64), np.zeros((0, d))
@@ -38,11 +57,9 @@ def _partial_sums(labelled: DataFrame, d: int) -> DataFrame:
             starts = np.flatnonzero(np.diff(cid[order], prepend=-1))
             if len(starts):
                 s[cid[order][starts]] += np.add.reduceat(x[order], starts, axis=0)
-        used = np.flatnonzero(n)
-        if len(used):
-            yield pa.record_batch([pa.array(used, pa.int32()), pa.array(n[used]), pa.array(list(s[used]), pa.list_(pa.float64()))], names=["cid", "n", "s"])
+        yield from _partial(n, s)
 
-    return labelled.select(F.col("cid").cast("int").alias("cid"), "x").mapInArrow(run, "cid int, n long, s array<double>")
+    return labelled.select(F.col("cid").cast("int").alias("cid"), "x").mapInArrow(run, PARTIAL)
 
 
 def _dense(rows: list, k: int, d: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +72,7 @@ def _dense(rows: list, k: int, d: int) -> tuple[np.ndarray, np.ndarray]:
 
 def centroids(labelled: DataFrame, k: int, d: int) -> tuple[np.ndarray, np.ndarray]:
     """(sizes, k x d centroids) of labelled (cid, x)."""
-    return _dense(_sum_arrays(_partial_sums(labelled, d), {"s": d}).collect(), k, d)
+    return _dense(_sum_arrays(_partial_sums(labelled, d)).collect(), k, d)
 
 
 def global_centroid(points: DataFrame, d: int) -> np.ndarray:
@@ -71,16 +88,30 @@ def sizes(assignments: DataFrame, k: int) -> np.ndarray:
     return out
 
 
-def wcss(points: DataFrame, assignments: DataFrame, centers: np.ndarray) -> np.ndarray:
-    """Within-cluster sum of squares of every centre, for labels that are stored somewhere."""
-    out = np.zeros(len(centers))
-    literal = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centers])
-    d2 = squared_distance(F.col("x"), literal[F.col("cid")])
-    for r in points.join(assignments, "obs_id").groupBy("cid").agg(F.sum(d2).alias("ss")).collect():
+def labelled_wcss(labelled: DataFrame, centers: np.ndarray) -> np.ndarray:
+    """Within-cluster sum of squares of every centre, of labelled (cid, x): one scan, no join."""
+    k = len(centers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k)
+        for batch in batches:
+            cid, x = batch.column(0).to_numpy(zero_copy_only=False), matrix(batch.column(1))
+            for s in slices(len(x), max(centers.shape[1], 1)):
+                gap = x[s] - centers[cid[s]]
+                total += np.bincount(cid[s], (gap * gap).sum(1), k)
+        yield pa.record_batch([pa.array(np.arange(k), pa.int32()), pa.array(total)], names=["cid", "ss"])
+
+    out = np.zeros(k)
+    for r in labelled.select(F.col("cid").cast("int").alias("cid"), "x").mapInArrow(run, "cid int, ss double").groupBy("cid").agg(F.sum("ss").alias("ss")).collect():
         out[r["cid"]] = r["ss"]
     return out
 
 
+def wcss(points: DataFrame, assignments: DataFrame, centers: np.ndarray) -> np.ndarray:
+    """The same for labels that are stored apart from the observations."""
+    return labelled_wcss(points.join(assignments, "obs_id").select("cid", "x"), centers)
+
+
 def assigned_wcss(points: DataFrame, label_centers: np.ndarray, centers: np.ndarray) -> np.ndarray:
     """The same where labels are those of the nearest of label_centers: no join."""
     k = len(centers)
@@ -123,11 +154,9 @@ def assign_and_sum(points: DataFrame, centers: np.ndarray, previous: np.ndarray
                 order = np.argsort(cid, kind="stable")
                 starts = np.flatnonzero(np.diff(cid[order], prepend=-1))
                 s[cid[order][starts]] += np.add.reduceat(x[part][order], starts, axis=0)
-        used = np.flatnonzero(n)
-        if len(used):
-            yield pa.record_batch([pa.array(used, pa.int32()), pa.array(n[used]), pa.array(list(np.column_stack([moved, s])[used]), pa.list_(pa.float64()))], names=["cid", "n", "s"])
+        yield from _partial(n, np.column_stack([moved, s]))
 
-    rows = _sum_arrays(points.select("x").mapInArrow(run, "cid int, n long, s array<double>"), {"s": d + 1}).collect()
+    rows = _sum_arrays(points.select("x").mapInArrow(run, PARTIAL)).collect()
     found = [{"cid": r["cid"], "n": r["n"], "s": r["s"][1:]} for r in rows]
     return *_dense(found, k, d), int(round(sum(r["s"][0] for r in rows)))
 

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from tessella.functions.distance import squared_distance_to
 
-#: Up to so many centre coordinates, expressions are unrolled.
-UNROLLED = 256
+#: Up to so many centre coordinates, expressions are unrolled; more would pass the 64 KB that a generated method may have.
+UNROLLED = 64
+#: Coordinates of the centres that are broadcast at a time.
+BROADCAST_CELLS = 4 << 20
 CELLS = 4 << 20
 
 
@@ -73,13 +75,23 @@ def nearest(points: DataFrame, centers: np.ndarray, with_distance: bool = False)
 
 
 def nearest_join(points: DataFrame, centers: DataFrame) -> DataFrame:
-    """(obs_id, cid) for centres that live in a table (cid, c): one row with all of them joins every observation."""
-    every = centers.agg(F.array_sort(F.collect_list(F.struct("cid", "c"))).alias("all"))
+    """(obs_id, cid) for centres that live in a table (cid, c): one row with all of them joins every observation.
+
+    Their number and length are looked up first; more than `BROADCAST_CELLS` coordinates are broadcast block by block,
+    each observation carrying the best centre so far.
+    """
     from tessella.functions.distance import squared_distance
 
+    k, d = (v or 0 for v in centers.agg(F.count("*"), F.max(F.size("c"))).first())
+    blocks = max(1, -(-k * d // BROADCAST_CELLS))
     best = F.array_min(F.transform("all", lambda e: F.struct(squared_distance(F.col("x"), e["c"]).alias("d2"), e["cid"].alias("cid"))))
-    # One row, of k x d numbers.
-    return points.join(F.broadcast(every)).select("obs_id", best["cid"].alias("cid"))
+    found = points.select("obs_id", "x")
+    for b in range(blocks):
+        some = centers.where(F.pmod(F.xxhash64("cid"), F.lit(blocks)) == b)
+        every = some.agg(F.collect_list(F.struct("cid", "c")).alias("all"))  # one row
+        here = best if not b else F.least("best", best)  # a null, of a block without centres, loses
+        found = found.join(F.broadcast(every)).select("obs_id", "x", here.alias("best"))
+    return found.select("obs_id", "best.cid")
 
 
 def two_nearest(points: DataFrame, centers: np.ndarray, keep_x: bool = False) -> DataFrame:

@@ -12,12 +12,12 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.aggregate import assign_and_sum, centroids, global_centroid
-from tessella.operators.assign import nearest, squared_distances, two_nearest
+from tessella.operators.assign import matrix, nearest, squared_distances, two_nearest
 from tessella.operators.seeding import sample_key
 
 
@@ -132,31 +132,32 @@ class MiniBatch:
 @dataclass
 class HartiganWong:
     """Exact single-point transfers. The two nearest centres are found by all tasks; the transfers are sequential by
-    definition (each changes the centres that the next observation sees), so they run in one task, for at most
-    `max_rows` observations."""
+    definition (each changes the centres that the next observation sees), so they run in one task, for observations of
+    at most `max_bytes` (and `max_rows`, if given); more raise an error."""
 
     max_iterations: int = 10
     max_quick_transfer_iterations: int = 50
     quit_on_quick_transfer_convergence_failure: bool = False
-    max_rows: int = 1_000_000
+    max_rows: int | None = None
+    max_bytes: int = 1 << 30
 
     def run(self, points: DataFrame, n: int, d: int, centers: np.ndarray) -> Refined:
         k = len(centers)
         if is_edge_case(n, k):
             return edge_case(points, n, d, centers)
-        if n > self.max_rows:
-            raise ValueError(f"{n} observations; Hartigan-Wong is sequential and takes at most max_rows = {self.max_rows}. Use Lloyd or MiniBatch.")
+        if 8 * n * d > self.max_bytes or n > (self.max_rows or n):
+            raise ValueError(f"{n} observations of {d} dimensions; Hartigan-Wong is sequential and takes at most max_bytes = {self.max_bytes}, max_rows = {self.max_rows}. Use Lloyd or MiniBatch.")
         from tessella.plans.session import durable
 
         near = two_nearest(points, centers, keep_x=True).withColumn("all", F.lit(0))
         limits = (self.max_iterations, self.max_quick_transfer_iterations, self.quit_on_quick_transfer_convergence_failure)
 
-        def transfer(frame: pd.DataFrame) -> pd.DataFrame:
-            frame = frame.sort_values("obs_id")
-            best, iterations, status = hartigan_wong(np.array(frame["x"].tolist(), float), frame["best"].to_numpy(np.int64), frame["second"].to_numpy(np.int64), k, *limits)
-            return pd.DataFrame({"obs_id": frame["obs_id"].to_numpy(), "cid": best.astype(np.int32), "iterations": iterations, "status": status})
+        def transfer(rows: pa.Table) -> pa.Table:
+            rows = rows.sort_by("obs_id").combine_chunks()
+            best, iterations, status = hartigan_wong(matrix(rows["x"].combine_chunks()), rows["best"].to_numpy().astype(np.int64), rows["second"].to_numpy().astype(np.int64), k, *limits)
+            return pa.table({"obs_id": rows["obs_id"], "cid": pa.array(best, pa.int32()), "iterations": pa.array(np.full(len(best), iterations), pa.int32()), "status": pa.array(np.full(len(best), status), pa.int32())})
 
-        done = durable(near.groupBy("all").applyInPandas(transfer, "obs_id long, cid int, iterations int, status int"))
+        done = durable(near.groupBy("all").applyInArrow(transfer, "obs_id long, cid int, iterations int, status int"))
         first = done.first()
         clusters = done.select("obs_id", "cid")
         sizes, means = centroids(points.join(clusters, "obs_id").select("cid", "x"), k, d)

@@ -40,6 +40,15 @@ def lloyd(passes: int) -> str:
     return ", ".join(f"{labels(f'a{i}', f'c{i - 1}')}, {means(f'c{i}', f'a{i}', 'c0')}" for i in range(1, passes + 1))
 
 
+def details(name: str, passes: int) -> str:
+    """When the labels a1, a2, ... last changed: iterations and status of the passes, with the sizes of the last labels."""
+    moved = " UNION ALL ".join(f"SELECT {i} AS i WHERE NOT EXISTS (SELECT 1 FROM a{i} n JOIN a{i - 1} o USING (obs_id) WHERE n.cid <> o.cid)" for i in range(2, passes + 1))
+    return (
+        f"SELECT '{name}' AS name, coalesce((SELECT min(i) FROM ({moved})), {passes}) AS iterations, CASE WHEN EXISTS ({moved}) THEN 0 ELSE 2 END AS status, c.cid, count(a.obs_id) AS size "
+        f"FROM c0 c LEFT JOIN a{passes} a ON a.cid = c.cid GROUP BY c.cid"
+    )
+
+
 def long_form(centers: str) -> str:
     return f"SELECT cid, CAST(unnest(range(len(c))) AS INTEGER) AS dim, round(unnest(c), 6) + 0.0 AS value FROM {centers}"
 
@@ -68,8 +77,8 @@ def cut(source: str) -> str:
     )
 
 
-def kmeanspp(k: int) -> str:
-    u = draws(KmeansPlusPlus().seed, k)
+def kmeanspp(k: int, seed: int = KmeansPlusPlus().seed) -> str:
+    u = draws(seed, k)
     parts = [f"g0 AS MATERIALIZED (SELECT 0 AS cid, obs_id, x AS c FROM points WHERE obs_id = (SELECT least(count(*) - 1, greatest(0, CAST(ceil({u[0]!r} * count(*)) AS BIGINT) - 1)) FROM points))"]
     for r in range(1, k):
         parts.append(f"m{r} AS MATERIALIZED (SELECT p.obs_id, p.x, min({d2('p.x', 'g.c')}) AS w FROM points p CROSS JOIN g{r - 1} g GROUP BY p.obs_id, p.x)")
@@ -97,6 +106,7 @@ def oracle_sql() -> dict[str, str]:
     starts = "c0 AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {[float(v) for v in c]}::DOUBLE[])" for i, c in enumerate(STARTS)) + ") AS t(cid, c))"
     by_label = "a AS (SELECT obs_id, x, label AS cid FROM points)"
     eleven = f"k AS (SELECT CAST(i AS INTEGER) AS cid, (SELECT any_value(x) FROM points) AS c FROM range({K + 1}) AS r(i))"
+    apart = f"c0 AS (SELECT CAST(i AS INTEGER) AS cid, list_concat([100.0::DOUBLE * i], list_transform(range(63), lambda z: 0.0::DOUBLE)) AS c FROM range({K}) AS r(i))"
     return {
         "row_count": "SELECT count(*) AS n, count(*) AS n_valid, CAST(max(len(embedding)) AS INTEGER) AS d, CAST(min(len(embedding)) AS INTEGER) AS d_valid FROM embeddings",
         "scan_one": f"WITH {POINTS} SELECT obs_id, CAST(unnest(range(len(x))) AS INTEGER) AS dim, round(unnest(x), 6) + 0.0 AS value FROM points WHERE obs_id = 42",
@@ -122,6 +132,10 @@ def oracle_sql() -> dict[str, str]:
         "init_none": f"WITH {POINTS}, g AS (SELECT CAST(obs_id AS INTEGER) AS cid, x AS c FROM points WHERE obs_id < 12) {long_form('g')}",
         "init_random": f"WITH {POINTS}, s AS (SELECT * FROM points ORDER BY md5('{Random().seed}:' || obs_id) LIMIT {K}), g AS (SELECT CAST(row_number() OVER (ORDER BY obs_id) - 1 AS INTEGER) AS cid, x AS c FROM s) {long_form('g')}",
         "init_kmeanspp": kmeanspp(4),
+        "init_kmeanspp_10": kmeanspp(K, 42),
+        "lloyd_details": f"SELECT name, CAST(iterations AS INTEGER) AS iterations, CAST(status AS INTEGER) AS status, cid, size FROM (FROM (WITH {JITTERED}, {apart}, {lloyd(10)} {details('separated', 10)}) "
+        f"UNION ALL FROM (WITH {POINTS}, {FIRST}, {lloyd(2)} {details('two passes', 2)}) UNION ALL FROM (WITH {POINTS}, {FIRST}, {lloyd(25)} {details('many passes', 25)}))",
+        "points_round_trip": f"WITH {JITTERED} SELECT CAST(label AS BIGINT) AS obs_id, round(avg(x[1]), 6) + 0.0 AS first, count(*) AS size, count(*) AS labels FROM points GROUP BY label",
         "init_varpart_mean": varpart(False),
         "init_varpart_opt": varpart(True),
         "lloyd": f"WITH {POINTS}, {FIRST}, {lloyd(10)} {summary('a10', 'c10')}",

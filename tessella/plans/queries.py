@@ -128,7 +128,7 @@ def cluster_sizes(spark, sf_dir):
 def cluster_wcss(spark, sf_dir):
     p = labelled(spark, sf_dir)
     _, centers = aggregate.centroids(p, K + 1, P.dimensions(p))
-    ss = aggregate.wcss(p.select("obs_id", "x"), p.select("obs_id", "cid"), centers)
+    ss = aggregate.labelled_wcss(p, centers)
     return frame(spark, [(i, float(v)) for i, v in enumerate(ss)], "cid int, wcss double").select("cid", r6("wcss"))
 
 
@@ -184,6 +184,11 @@ def init_kmeanspp(spark, sf_dir):
     return long_form(spark, seeding.KmeansPlusPlus().run(p, p.count(), P.dimensions(p), 4))
 
 
+def init_kmeanspp_10(spark, sf_dir):
+    p = embeddings(spark, sf_dir)
+    return long_form(spark, seeding.KmeansPlusPlus(seed=42).run(p, p.count(), P.dimensions(p), K))
+
+
 def _varpart(spark, sf_dir, optimal):
     p = embeddings(spark, sf_dir)
     return long_form(spark, seeding.VariancePartition(optimize_partition=optimal).run(p, p.count(), P.dimensions(p), 3))
@@ -202,6 +207,27 @@ def lloyd(spark, sf_dir):
     return compute(p, seeding.Given(first_centers(p)), "lloyd", K).summary().select("cid", "size", r6("wcss"))
 
 
+def lloyd_details(spark, sf_dir):
+    """How Lloyd ends on separated clusters, and on others within 2 and 25 passes."""
+    rows = []
+    for name, p, start, limit in (("separated", jittered(spark, sf_dir), jitter_starts, 10), ("two passes", embeddings(spark, sf_dir), None, 2), ("many passes", embeddings(spark, sf_dir), None, 25)):
+        got = compute(p, seeding.Given(start(P.dimensions(p)) if start else first_centers(p)), refine.Lloyd(limit), K).details
+        rows.append((name, got.iterations, got.status, [int(n) for n in got.sizes]))
+    return frame(spark, rows, "name string, iterations int, status int, sizes array<bigint>").selectExpr("name", "iterations", "status", "posexplode(sizes) as (cid, size)")
+
+
+def points_round_trip(spark, sf_dir):
+    """Centres, labels and details, written and read again as points."""
+    from tessella.plans.session import shared_path
+
+    path = shared_path(spark, "round-trip")
+    compute(jittered(spark, sf_dir), seeding.Given(jitter_starts(64)), "lloyd", K).save(path)
+    centers = P.read_points(spark, f"{path}/centers", "cid", "c").select("obs_id", F.col("x")[0].alias("first"))
+    sizes = spark.read.parquet(f"{path}/details").selectExpr("posexplode(sizes) as (obs_id, size)")
+    counted = spark.read.parquet(f"{path}/clusters").groupBy(F.col("cid").alias("obs_id")).agg(F.count("*").alias("labels"))
+    return centers.join(sizes, "obs_id").join(counted, "obs_id").select("obs_id", r6("first"), "size", "labels")
+
+
 def lloyd_lineitem(spark, sf_dir):
     p = lineitem(spark, sf_dir)
     got = compute(p, seeding.Given(np.array(STARTS)), "lloyd", 4, shape=(p.count(), 4))
@@ -238,7 +264,7 @@ def compute_pipeline(spark, sf_dir):
 QUERIES = [
     row_count, scan_one, scan_range, scan_indexed, gather_rows, nearest_center, nearest_center_join, two_nearest_centers, global_centroid, cluster_centroids,
     empty_cluster_centroid, cluster_sizes, cluster_wcss, dim_sum_squares, optimal_partition, compact_clusters, edge_k1, edge_k_ge_n, init_none, init_random,
-    init_kmeanspp, init_varpart_mean, init_varpart_opt, lloyd, lloyd_lineitem, hartigan_wong, hartigan_wong_free, minibatch, minibatch_steps, compute_pipeline,
+    init_kmeanspp, init_kmeanspp_10, init_varpart_mean, init_varpart_opt, lloyd, lloyd_details, points_round_trip, lloyd_lineitem, hartigan_wong, hartigan_wong_free, minibatch, minibatch_steps, compute_pipeline,
 ]
 
 

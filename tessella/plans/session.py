@@ -5,21 +5,36 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder and reread, so that its lineage is cut and lost executors cost a reread.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where that is unset, a temporary one if all runs on this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
+    named = tempfile.mkdtemp(prefix="tessella-")
+    atexit.register(shutil.rmtree, named, ignore_errors=True)
+    return f"file://{named}"
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted as the driver's JVM ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(at)
+    store.deleteOnExit(at)
+    return path
 
-    The folder is the one that spark.checkpoint.dir names; a temporary one only where that is unset.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def durable(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and reread, so that its lineage is cut and lost executors cost a reread."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            named = tempfile.mkdtemp(prefix="tessella-")
-            atexit.register(shutil.rmtree, named, ignore_errors=True)
-        context.setCheckpointDir(named)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
