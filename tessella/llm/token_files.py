@@ -31,6 +31,7 @@ END_ID = 2
 EVERY = 64
 BLOCK_TOKENS = 1 << 17
 PIECE_BYTES = 2 << 20
+TEXT_BYTES = 6 << 20  # whose distinct words are looked up together
 CACHED_WORDS = 300_000
 PARTS_BYTES = 16 << 20
 
@@ -259,7 +260,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> N
     kind = np.uint32 if wide else np.uint16
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, "text", PIECE_BYTES):
+        for part in pieces(batches, "text", TEXT_BYTES):
             ids, sizes = encoder(tokenizer).encode(part.column(1), end_id)
             cuts = np.append(0, np.cumsum(sizes)) * kind().itemsize
             yield pa.record_batch([part.column(0), binary_array(ids.astype(kind).view(np.uint8), cuts)], names=["doc_id", "ids"])
