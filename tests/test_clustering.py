@@ -261,3 +261,79 @@ def test_all_pipelines(spark, seed_kind, tmp_path):
             assert len({tuple(label[np.arange(60) % 4 == j]) for j in range(4)}) == 4 and got.wcss().sum() < 1
     got.save(str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out" / "centers")).count() == 4
+
+
+def plain_hartigan_wong(x, centers, limit=10, quick=50):
+    """The published algorithm (AS 136) with its arrays LIVE, NCP and ITRAN, one observation and one number at a time: labels, iterations, status."""
+    n, k = len(x), len(centers)
+    order = [sorted(range(k), key=lambda c: (sum((a - b) ** 2 for a, b in zip(p, centers[c])), c)) for p in x]
+    first, second = [o[0] for o in order], [o[1] for o in order]
+    size = [first.count(c) for c in range(k)]
+    mean = lambda: [[sum(x[i][j] for i in range(n) if first[i] == c) / max(size[c], 1) for j in range(len(x[0]))] for c in range(k)]
+    center = mean()
+    far = lambda i, c: sum((a - b) ** 2 for a, b in zip(x[i], center[c]))
+    up, down = lambda c: size[c] / (size[c] + 1), lambda c: size[c] / (size[c] - 1) if size[c] > 1 else float("inf")
+
+    def move(i, a, b):
+        center[a] = [(v * size[a] - p) / (size[a] - 1) for v, p in zip(center[a], x[i])]
+        center[b] = [(v * size[b] + p) / (size[b] + 1) for v, p in zip(center[b], x[i])]
+        size[a], size[b], first[i], second[i] = size[a] - 1, size[b] + 1, b, a
+
+    loss, live, step_of, moved, quiet = [0.0] * n, [0] * k, [-1] * k, [True] * k, 0
+    for iteration in range(1, limit + 1):
+        live = [n + 1 if moved[c] else live[c] for c in range(k)]
+        for i in range(n):
+            at, quiet = i + 1, quiet + 1
+            a = first[i]
+            if size[a] > 1:
+                if step_of[a] != 0:
+                    loss[i] = far(i, a) * down(a)
+                best = before = second[i]
+                least = far(i, best) * up(best)
+                for c in range(k):
+                    if c in (a, before) or (at >= live[a] and at >= live[c]):
+                        continue
+                    if far(i, c) * up(c) < least:
+                        best, least = c, far(i, c) * up(c)
+                if least >= loss[i]:
+                    second[i] = best
+                else:
+                    quiet, live[a], live[best], step_of[a], step_of[best] = 0, n + at, n + at, at, at
+                    move(i, a, best)
+            if quiet == n:
+                return first, iteration, 0
+        moved, live = [False] * k, [v - n for v in live]
+        still, step, done = 0, 0, False
+        while not done and step < quick * n:
+            i = step % n
+            step, still = step + 1, still + 1
+            a, b = first[i], second[i]
+            if size[a] > 1:
+                if step <= step_of[a]:
+                    loss[i] = far(i, a) * down(a)
+                if (step < step_of[a] or step < step_of[b]) and far(i, b) * up(b) < loss[i]:
+                    still = quiet = 0
+                    moved[a] = moved[b] = True
+                    step_of[a] = step_of[b] = step + n
+                    move(i, a, b)
+            done = still == n
+        center = mean()
+        if done and k == 2:
+            return first, iteration, 0
+        step_of = [0] * k
+    return first, limit, 2
+
+
+@pytest.mark.parametrize("k", [2, 5, 10])
+def test_hartigan_wong_matches_a_plain_version(k):
+    """On overlapping data: labels, iterations and status."""
+    ends = set()
+    for seed in range(12):
+        x = noise(120, 3, 50 + seed)
+        order = np.argsort(d2(x, x[:k]), axis=1, kind="stable")
+        for limit in (1, 2, 3, 30):
+            got = refine.hartigan_wong(x, order[:, 0], order[:, 1], k, limit, 50, False)
+            want = plain_hartigan_wong(x.tolist(), x[:k].tolist(), limit)
+            assert (got[0].tolist(), got[1], got[2]) == want, (seed, limit)
+            ends.add(got[2])
+    assert ends == ({0} if k == 2 else {0, 2})
