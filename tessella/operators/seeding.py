@@ -146,65 +146,83 @@ def split_labels(points: DataFrame, splits: list[tuple[int, int, float, int]]) -
 #: Rows up to which a cut is searched in one task; beyond, by ranges of values.
 CUT_ROWS = 1 << 18
 
+Moments = tuple[int, float, float]  # n, mean, sum of squares about it
 
-def best_cut(values: np.ndarray, head: tuple[int, float, float], tail: tuple[int, float, float], after: float | None) -> tuple[float, float] | None:
-    """(sum of squares, boundary) of the best cut that follows one of the sorted values; head and tail: the moments (n, mean, ss)
-    of what lies before and behind; after: the next value behind."""
+
+def best_cut(values: np.ndarray, times: np.ndarray, head: Moments, tail: Moments, after: float | None) -> tuple[float, float] | None:
+    """(sum of squares, boundary) of the best cut that follows one of the sorted distinct values, which occur so many times; head and
+    tail: the moments of what lies before and behind; after: the next value behind."""
     v = np.append(values, [] if after is None else [after])
     if len(v) < 2:
         return None
-    shift = values.mean()
-    own, own2 = np.cumsum(values - shift), np.cumsum((values - shift) ** 2)
-    n = np.arange(1, len(values) + 1)
+    shift = float(values @ times / times.sum())
+    own, own2, n = np.cumsum(times * (values - shift)), np.cumsum(times * (values - shift) ** 2), np.cumsum(times)
 
-    def side(count: np.ndarray, s: np.ndarray, s2: np.ndarray, other: tuple[int, float, float]) -> np.ndarray:
+    def side(count: np.ndarray, s: np.ndarray, s2: np.ndarray, other: Moments) -> np.ndarray:
         gap = np.where(count > 0, s / np.maximum(count, 1), 0) + shift - other[1]
         return np.maximum(s2 - s * s / np.maximum(count, 1), 0) + other[2] + gap * gap * count * other[0] / np.maximum(count + other[0], 1)
 
     left = side(n, own, own2, head)
-    right = side(len(values) - n, own[-1] - own, own2[-1] - own2, tail)
+    right = side(n[-1] - n, own[-1] - own, own2[-1] - own2, tail)
     total = (left + right)[: len(v) - 1]
     i = int(total.argmin())
     return float(total[i]), float(v[i] + (v[i + 1] - v[i]) / 2)
 
 
+def _together(a: Moments, b: Moments) -> Moments:
+    n, gap = a[0] + b[0], b[1] - a[1]
+    return (n, a[1] + gap * b[0] / n, a[2] + b[2] + gap * gap * a[0] * b[0] / n) if n else a
+
+
 def optimal_boundary(values: DataFrame, n: int, rows: int | None = None) -> float:
     """The cut of column v into two parts with the least sum of squares: the midpoint of two neighbours; ties to the leftmost.
 
-    Beyond `rows` values, ranges of values are cut in parallel: each knows the moments of all ranges before
-    and behind it and the first value of the next. The driver sees a row for each range.
+    Where all values are equal, that value. Equal values are counted before anything moves, so a value of half of all rows is one row. Beyond `rows` values, ranges
+    of values are stored and cut in parallel: each knows the moments of all ranges before and behind it and the first value
+    of the next. The driver sees a row for each range.
     """
-    rows = rows or CUT_ROWS
-    bounds: list[float] = []
-    if n > rows:
-        share = [i / (-(-n // rows)) for i in range(1, -(-n // rows))]
-        bounds = sorted(set(values.approxQuantile("v", share, 0.5 / len(share) / 2)))
-    part = F.lit(0).cast("int")
-    if bounds:
-        part = F.aggregate(F.transform(F.array(*[F.lit(b) for b in bounds]), lambda b: (F.col("v") >= b).cast("int")), F.lit(0), lambda s, b: s + b)
-    parted = values.select("v", part.alias("part"))
-    stats = {r["part"]: (r["n"], r["mean"], r["var"] * r["n"], r["low"]) for r in parted.groupBy("part").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.var_pop("v").alias("var"), F.min("v").alias("low")).collect()}
-    order = sorted(stats)
-
-    def together(keys: list[int]) -> tuple[int, float, float]:
-        n, mean, ss = 0, 0.0, 0.0
-        for k in keys:
-            m, other, s, _ = stats[k]
-            gap = other - mean
-            n, mean, ss = n + m, mean + gap * m / (n + m), ss + s + gap * gap * n * m / (n + m)
-        return n, mean, ss
-
-    plan = {k: (together(order[:i]), together(order[i + 1 :]), stats[order[i + 1]][3] if i + 1 < len(order) else None) for i, k in enumerate(order)}
-
-    def search(frame: pa.Table) -> pa.Table:
-        head, tail, after = plan[frame.column("part")[0].as_py()]
-        # Many equal values stay one range; cutting between them is never better than beside them.
-        found = best_cut(np.sort(frame.column("v").to_numpy()), head, tail, after)
-        rows_ = [] if found is None else [found]
-        return pa.table({"ss": pa.array([f[0] for f in rows_], pa.float64()), "boundary": pa.array([f[1] for f in rows_], pa.float64())})
-
-    found = sorted((r["ss"], r["boundary"]) for r in parted.groupBy("part").applyInArrow(search, "ss double, boundary double").collect())
-    return found[0][1]
+    parts = max(1, -(-n // (rows or CUT_ROWS)))
+    parted = values.groupBy("v").agg(F.count("*").alias("n"))
+    if parts > 1:
+        from tessella.plans.session import durable
+
+        parted = durable(parted.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id()))
+    else:
+        parted = parted.coalesce(1).withColumn("part", F.lit(0))
+    parted = parted.select("v", "n", "part")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """A task's range: part, sorted values and how often each occurs."""
+        found = [b for b in batches if b.num_rows]
+        if found:
+            v, times = (np.concatenate([b.column(k).to_numpy() for b in found]) for k in (0, 1))
+            order = np.argsort(v)
+            yield found[0].column(2)[0].as_py(), v[order], times[order].astype(float)
+
+    def stat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, v, times in whole(batches):
+            mean = float(v @ times / times.sum())
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([int(times.sum())]), pa.array([mean]), pa.array([float(times @ (v - mean) ** 2)]), pa.array([v[0]])], names=["part", "n", "mean", "ss", "low"])
+
+    stats = sorted(map(tuple, parted.mapInArrow(stat, "part int, n long, mean double, ss double, low double").collect()))
+    none = (0, 0.0, 0.0)
+    heads, tails = [none], [none]
+    for _, *m, _ in stats[:-1]:
+        heads.append(_together(heads[-1], tuple(m)))
+    for _, *m, _ in stats[:0:-1]:
+        tails.append(_together(tails[-1], tuple(m)))
+    after = [x[-1] for x in stats[1:]] + [None]
+    plan = {x[0]: y for x, *y in zip(stats, heads, reversed(tails), after)}
+    held = values.sparkSession.sparkContext.broadcast(plan)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, v, times in whole(batches):
+            found = best_cut(v, times, *held.value[part])
+            if found is not None:
+                yield pa.record_batch([pa.array([found[0]]), pa.array([found[1]])], names=["ss", "boundary"])
+
+    found = sorted((r["ss"], r["boundary"]) for r in parted.mapInArrow(search, "ss double, boundary double").collect())
+    return found[0][1] if found else stats[0][-1]
 
 
 @dataclass

@@ -337,3 +337,15 @@ def test_hartigan_wong_matches_a_plain_version(k):
             assert (got[0].tolist(), got[1], got[2]) == want, (seed, limit)
             ends.add(got[2])
     assert ends == ({0} if k == 2 else {0, 2})
+
+
+def test_boundary_of_many_equal_values(spark):
+    """A million rows of which half are one value, cut by ranges."""
+    v = F.when(F.col("id") % 2 == 0, 0.25).otherwise(F.pmod(F.xxhash64("id"), F.lit(100_003)) / 100_003.0 + F.when(F.col("id") % 3 == 0, 2.0).otherwise(0.0))
+    values = spark.range(1_000_000).select(v.alias("v"))
+    x = np.sort(values.toPandas()["v"].to_numpy())
+    n = np.arange(1, len(x))
+    s, s2 = np.cumsum(x), np.cumsum(x * x)
+    ss = s2[:-1] - s[:-1] ** 2 / n + (s2[-1] - s2[:-1]) - (s[-1] - s[:-1]) ** 2 / (len(x) - n)
+    i = int(np.where(np.diff(x) > 0, ss, np.inf).argmin())
+    assert seeding.optimal_boundary(values, 1_000_000, 1 << 15) == pytest.approx((x[i] + x[i + 1]) / 2, abs=1e-9)
