@@ -138,6 +138,7 @@ def oracle_sql() -> dict[str, str]:
         "points_round_trip": f"WITH {JITTERED} SELECT CAST(label AS BIGINT) AS obs_id, round(avg(x[1]), 6) + 0.0 AS first, count(*) AS size, count(*) AS labels FROM points GROUP BY label",
         "init_varpart_mean": varpart(False),
         "init_varpart_opt": varpart(True),
+        "init_varpart_10": varpart(True, K),
         "lloyd": f"WITH {POINTS}, {FIRST}, {lloyd(10)} {summary('a10', 'c10')}",
         "lloyd_lineitem": f"WITH {lines}, {starts}, {lloyd(10)} {summary('a10', 'c10', 4)}",
         "hartigan_wong": "SELECT vec_id AS obs_id, label AS cid FROM embeddings",

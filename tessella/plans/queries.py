@@ -189,9 +189,9 @@ def init_kmeanspp_10(spark, sf_dir):
     return long_form(spark, seeding.KmeansPlusPlus(seed=42).run(p, p.count(), P.dimensions(p), K))
 
 
-def _varpart(spark, sf_dir, optimal):
+def _varpart(spark, sf_dir, optimal, k=3):
     p = embeddings(spark, sf_dir)
-    return long_form(spark, seeding.VariancePartition(optimize_partition=optimal).run(p, p.count(), P.dimensions(p), 3))
+    return long_form(spark, seeding.VariancePartition(optimize_partition=optimal).run(p, p.count(), P.dimensions(p), k))
 
 
 def init_varpart_mean(spark, sf_dir):
@@ -202,6 +202,10 @@ def init_varpart_opt(spark, sf_dir):
     return _varpart(spark, sf_dir, True)
 
 
+def init_varpart_10(spark, sf_dir):
+    return _varpart(spark, sf_dir, True, K)
+
+
 def lloyd(spark, sf_dir):
     p = embeddings(spark, sf_dir)
     return compute(p, seeding.Given(first_centers(p)), "lloyd", K).summary().select("cid", "size", r6("wcss"))
@@ -264,7 +268,7 @@ def compute_pipeline(spark, sf_dir):
 QUERIES = [
     row_count, scan_one, scan_range, scan_indexed, gather_rows, nearest_center, nearest_center_join, two_nearest_centers, global_centroid, cluster_centroids,
     empty_cluster_centroid, cluster_sizes, cluster_wcss, dim_sum_squares, optimal_partition, compact_clusters, edge_k1, edge_k_ge_n, init_none, init_random,
-    init_kmeanspp, init_kmeanspp_10, init_varpart_mean, init_varpart_opt, lloyd, lloyd_details, points_round_trip, lloyd_lineitem, hartigan_wong, hartigan_wong_free, minibatch, minibatch_steps, compute_pipeline,
+    init_kmeanspp, init_kmeanspp_10, init_varpart_mean, init_varpart_opt, init_varpart_10, lloyd, lloyd_details, points_round_trip, lloyd_lineitem, hartigan_wong, hartigan_wong_free, minibatch, minibatch_steps, compute_pipeline,
 ]
 
 
