@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,12 +37,14 @@ def from_matrix(spark: SparkSession, data: np.ndarray) -> DataFrame:
 
 
 def dense_ids(df: DataFrame, *order: str) -> DataFrame:
-    """obs_id 0 .. n - 1 by the given columns, in two passes: counts of range partitions, then numbers within each.
+    """obs_id 0 .. n - 1 by the given columns, in two passes over stored range partitions: their counts, then numbers within each.
 
     Rows equal in all of `order` are interchangeable. Only one number for each partition reaches the driver.
     """
     parted = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_within", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    parted = parted.persist()
+    from tessella.plans.session import durable
+
+    parted = durable(parted)  # drawn anew, range bounds might number rows twice
     sizes = sorted((r["_part"], r["count"]) for r in parted.groupBy("_part").count().collect())
     before, starts = 0, {}
     for part, n in sizes:
@@ -97,25 +99,11 @@ def gather(points: DataFrame, chosen: Sequence[int]) -> np.ndarray:
     return np.array([rows[int(i)] for i in chosen], float).reshape(len(chosen), -1)
 
 
-def gather_frame(points: DataFrame, ids: DataFrame) -> DataFrame:
-    """(cid, c): ids(cid, obs_id) joined to their observations."""
-    return ids.join(points, "obs_id").select(F.col("cid").cast("int").alias("cid"), F.col("x").alias("c"))
-
 
 def centers_frame(spark: SparkSession, centers: np.ndarray) -> DataFrame:
     return spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(centers)], "cid int, c array<double>")
 
 
-def collect_centers(centers: DataFrame) -> np.ndarray:
-    """k rows; by cid."""
-    rows = sorted((r["cid"], r["c"]) for r in centers.collect())
-    return np.array([c for _, c in rows], float)
-
 
 def write(df: DataFrame, path: str, sink: str = "parquet", mode: str = "errorifexists", **options: str) -> None:
     df.write.format(sink).options(**options).mode(mode).save(path)
-
-
-def row_numbers(df: DataFrame, order: str) -> Column:
-    """0, 1, ... in one window; for small tables such as centres."""
-    return F.row_number().over(Window.orderBy(order)) - 1
