@@ -45,9 +45,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _least(a: Column, b: Column) -> Column:
-    return F.least(a, b)
-
 
 def words_of(text: Column) -> Column:
     """Runs of a-z, 0-9 and all beyond ASCII, in lower case."""
